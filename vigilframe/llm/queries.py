@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vigilframe.llm.common import table
+from vigilframe.llm import lm_scoring
+from vigilframe.llm.common import held_out, table
+from vigilframe.llm.embedding_dedup import near_vectors
 from vigilframe.llm.exact_dedup import content_sort_dedup
 from vigilframe.llm.mixing import mix_sources
+from vigilframe.llm.packing import pack_documents
 from vigilframe.llm.simhash import simhash_groups
 
 
@@ -20,6 +24,29 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, whatever their label, at a cosine of 0.9 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 1024 ids; each document ends with id 0."""
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), window=1024, end_id=0, emit={"ids_crc32": F.crc32("ids")})
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from documents whose crc32 modulo 5 is not 1 and scores all."""
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 1)
+    return lm_scoring.score(docs, lm_scoring.fit(spark, docs.where(~out)), held_out=out)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles; fingerprints link at three or fewer differing bits."""
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, budget=3)
@@ -27,7 +54,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_pack_documents": op8_pack_documents,
+    "op9_lm_scores": op9_lm_scores,
     "op10_simhash": op10_simhash,
 }
 
