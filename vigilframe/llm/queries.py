@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.llm import lm_scoring
-from vigilframe.llm.common import held_out, table
+from vigilframe.llm import lm_scoring, quality, toxicity
+from vigilframe.llm.common import held_out, materialize, shared_dir, table, word_count
 from vigilframe.llm.embedding_dedup import near_vectors
 from vigilframe.llm.exact_dedup import content_sort_dedup
+from vigilframe.llm.line_dedup import line_dedup
 from vigilframe.llm.mixing import mix_sources
 from vigilframe.llm.packing import pack_documents
 from vigilframe.llm.simhash import simhash_groups
+from vigilframe.llm.token_rollup import TokenRollup, counted, deletes, inserts, revisions
+
+
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by source, language and tokenizer version, kept through four commits.
+
+    Documents come in with counts estimated from n_chars, are revised to exact counts, and those
+    without a word are deleted; the revision is committed twice, which changes nothing.
+    """
+    docs = table(spark, sf_dir, "documents")
+    guess = F.ceil(F.coalesce("n_chars", F.lit(0)) / 6).cast("long")
+    exact = F.struct(word_count(F.col("text")).alias("1"), F.coalesce(F.regexp_count("text", F.lit("[A-Za-z]+")), F.lit(0)).cast("long").alias("2"))
+    rows = materialize(docs.select("source", "lang", guess.alias("guess"), exact.alias("n")), "rollup-counts")
+    rollup = TokenRollup(spark, f"{shared_dir(spark)}/vigilframe/rollup-{uuid.uuid4().hex}")
+    versions = [("words", "1"), ("words", "2")]
+    rollup.commit("load", inserts(counted(rows, {v: F.col("guess") for v in versions})))
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("tokenizer"), F.lit(v).alias("version"), F.col("guess").alias("old_tokens"), F.col("n")[v].alias("new_tokens")) for t, v in versions]))
+    change = revisions(rows.select("source", "lang", pairs.alias("x")).select("source", "lang", "x.*"))
+    rollup.commit("exact", change)
+    rollup.commit("exact", change)
+    rollup.commit("empty", deletes(counted(rows.where(F.col("n")["1"] == 0), {v: F.col("n")[v[1]] for v in versions})))
+    return rollup.totals()
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +49,37 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without chunks of two or more lines that an earlier document or passage has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs, detail_col="found").select("doc_id", F.col("found.lines").alias("n_lines"), "found.removed_lines", "found.removed_chunks", "text")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors, whatever their label, at a cosine of 0.9 or more."""
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def _may_learn(doc_id: Column) -> Column:
+    return ~held_out(doc_id, 0)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that labels.quality is 1; predicted at 0.3."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(spark, docs, table(spark, sf_dir, "labels"), learn_from=_may_learn)
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that labels.toxic is 1; predicted at 0.5."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(spark, docs, table(spark, sf_dir, "labels"), learn_from=_may_learn)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -53,9 +104,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_rollup": op1_token_rollup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_line_dedup": op3_line_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_pack_documents": op8_pack_documents,
     "op9_lm_scores": op9_lm_scores,
     "op10_simhash": op10_simhash,
@@ -63,7 +118,15 @@ QUERIES = {
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))"
+
 ORACLES = {
+    "op1_token_rollup": f"""
+        WITH d AS (SELECT source, lang, {WORDS} AS w1, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS w2 FROM documents),
+        v AS (SELECT source, lang, '1' AS version, w1 AS tokens FROM d WHERE w1 > 0 UNION ALL SELECT source, lang, '2', w2 FROM d WHERE w1 > 0)
+        SELECT source, lang, 'words' AS tokenizer, version, count(*) AS documents, sum(tokens)::BIGINT AS tokens
+        FROM v GROUP BY ALL
+    """,
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {LOWER_AZ} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)

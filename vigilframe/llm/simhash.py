@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.llm.common import materialize
@@ -46,14 +46,18 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp holds the 64 bits as a signed long. Null text has fingerprint zero."""
+    """(id, row, fp): row is a hash of id and text, fp the 64 bits as a signed long.
+
+    Null text has fingerprint zero.
+    """
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.fromiter((fingerprint(t, shingle) for t in pdf["body"]), np.uint64, len(pdf))
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"id": pdf["id"], "row": pdf["row"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body")).mapInPandas(hashed, "id long, fp long")
+    source = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).cast("binary").alias("body"))
+    return source.mapInPandas(hashed, "id string, row long, fp long").withColumn("id", F.col("id").cast("long"))
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray, code: np.ndarray, bit: int) -> np.ndarray:
@@ -154,6 +158,15 @@ def fingerprint_links(fps: DataFrame, budget: int) -> DataFrame:
     return dealt.mapInPandas(joined, "src long, dst long")
 
 
+def _grouped(docs: DataFrame, shingle: int, budget: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, fp, label, component_id) for each row; label names the component."""
+    rows = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
+    labels = connected_components(fingerprint_links(rows.select("fp").distinct(), budget)).withColumnRenamed("node", "fp")
+    labels = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")).join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "simhash-labels")
+    named = labels.join(labels.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("fp", "label", "component_id")
+    return rows.join(named, "fp")
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id.
 
@@ -162,8 +175,23 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = 3, id_col: s
     Repeated rows share a component. A null id gets the component's smallest other id, or null.
     An empty table gives no rows. Other columns are ignored.
     """
-    rows = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
-    labels = connected_components(fingerprint_links(rows.select("fp").distinct(), budget)).withColumnRenamed("node", "fp")
-    labels = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")).join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "simhash-labels")
-    named = labels.join(labels.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs, shingle, budget, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each group: that of the smallest id, null ids last.
+
+    Texts without words are one group. Of rows that agree in id and text one stays.
+    """
+    rows = materialize(_grouped(docs, shingle, budget, id_col, text_col).select("id", "row", "label"), "near-rows")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
+    stays = rows.groupBy("label").agg(F.min(place).alias("stays"))
+    gone = rows.join(stays, "label").where(place != F.col("stays")).select(F.col("row").alias("__near_row")).distinct()
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    left = docs.withColumn("__near_row", key).join(gone, "__near_row", "left_anti")
+    repeats = materialize(rows.groupBy("row").count().where("count > 1").select(F.col("row").alias("__near_row")), "near-repeats")
+    if not repeats.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("__near_row").orderBy(F.lit(1)))
+        one = left.join(repeats, "__near_row", "left_semi").withColumn("__near_nth", nth).where("__near_nth = 1").drop("__near_nth")
+        left = left.join(repeats, "__near_row", "left_anti").unionByName(one)
+    return left.select(*[f"`{c}`" for c in docs.columns])

@@ -13,6 +13,9 @@ _draw = np.random.default_rng(20240229)
 _BYTE = _draw.integers(0, 2**64, 256, np.uint64, endpoint=False)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation, for words without their punctuation.
+_BREAK = _SPACE.copy()
+_BREAK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
@@ -42,17 +45,22 @@ def _grow(n: int) -> None:
         _powers, _inverse = np.cumprod(step), np.cumprod(back)
 
 
-def _hash_words(flat: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word of lower-cased bytes."""
+def _hash_words(flat: bytes, breaks: np.ndarray = _SPACE, heads: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word, and of its first bytes for each length in heads that is below its own."""
     a = np.frombuffer(flat, np.uint8)
-    word = ~_SPACE[a]
+    word = ~breaks[a]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     _grow(len(a) + 1)
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_BYTE[a] * _powers[: len(a)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * _inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), starts, ends
+    found, at = [mix(h + (ends - starts).astype(np.uint64))], [starts]
+    for n in heads:
+        longer = starts[ends - starts > n]
+        found.append(mix((sums[longer + n] - sums[longer]) * _inverse[longer] + np.uint64(n << 32)))
+        at.append(longer)
+    return np.concatenate(found), np.concatenate(at)
 
 
 def _segments(text: bytes) -> Iterator[bytes]:
@@ -71,11 +79,14 @@ def _segments(text: bytes) -> Iterator[bytes]:
         at = end
 
 
-def word_hashes(texts: Sequence[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(texts: Sequence[bytes | None], lower: bool = True, punctuation: bool = True, heads: Sequence[int] = ()) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first, doc, hash) for runs of texts: doc numbers them from first; hash of each word in order.
 
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased; null has none.
+    Words are runs of bytes other than ASCII white space, A-Z lower-cased if lower; null has none.
+    Without punctuation, ASCII punctuation parts words as white space does.
+    heads adds hashes of the words' first bytes after the words, out of order.
     """
+    case, breaks = bytes.lower if lower else bytes, _SPACE if punctuation else _BREAK
     i = 0
     while i < len(texts):
         j, size = i, 0
@@ -83,11 +94,11 @@ def word_hashes(texts: Sequence[bytes | None]) -> Iterator[tuple[int, np.ndarray
             size += len(texts[j] or b"") + 1
             j += 1
         if size > CHUNK + 1:  # one text
-            found = [_hash_words(x)[0] for x in _segments((texts[i] or b"").lower())]
+            found = [_hash_words(x, breaks, heads)[0] for x in _segments(case(texts[i] or b""))]
             h = np.concatenate(found) if found else np.empty(0, np.uint64)
             yield i, np.zeros(len(h), np.int64), h
         else:
-            h, starts, _ = _hash_words(b"\n".join(t or b"" for t in texts[i:j]).lower())
+            h, starts = _hash_words(case(b"\n".join(t or b"" for t in texts[i:j])), breaks, heads)
             bounds = np.cumsum([len(t or b"") + 1 for t in texts[i:j]])
             yield i, np.searchsorted(bounds, starts, side="right"), h
         i = j
