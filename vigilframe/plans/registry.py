@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from vigilframe.plans import features
+
+QUERIES: dict = {**features.QUERIES}
+ORACLES: dict = {**features.ORACLES}
