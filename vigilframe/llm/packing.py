@@ -8,8 +8,10 @@ pieces find their places in the plan by their rank among pieces of the same leng
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -21,26 +23,63 @@ from pyspark.sql import functions as F
 from vigilframe.llm.common import materialize
 
 #: Words whose ids a worker remembers, and documents it works on at once: bounds on memory.
-CACHE, AT_ONCE = 300_000, 256
+CACHE, AT_ONCE = 400_000, 256
+#: Cut pieces that are looked up by broadcast; more of them are joined.
+FEW = 50_000
+#: How byte-level tokenizers split text before merging (fixed value of the public format).
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A single space between two visible characters always starts a new word of the tokenizer.
 APART = re.compile(r"(?<=\S) (?=\S)")
 
 _loaded: dict = {}
 
 
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Ranks by bytes of a byte-level BPE file whose ids follow its merges, else None."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        return None
+    # Bytes that print stand for themselves, the others for characters from 256 on.
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    vocab = model["vocab"]
+    if any(vocab.get(x + y) != 256 + i for i, (x, y) in enumerate(merges)):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    return {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
+
+
 class _Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; words met before come from a cache."""
+    """Ids of texts as little-endian unsigned 32-bit bytes; words met before come from a cache.
+
+    Words are split by tiktoken where the file's ranks allow it, which gives the same ids sooner;
+    texts with special tokens, and other kinds of files, go through tokenizers.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks, self.fast = merge_ranks(path), None
+        if ranks:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _learn(self, cache: dict[str, bytes], words: list[str], lead: str) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch([lead + w for w in words], add_special_tokens=False), strict=True):
+        slow = words
+        if self.fast:
+            slow = [w for w in words if any(s in w for s in self.special)]
+            for w in words:
+                cache[w] = array("I", self.fast(lead + w)).tobytes()
+        for w, e in zip(slow, self.tokenizer.encode_batch([lead + w for w in slow], add_special_tokens=False), strict=True):
             cache[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -186,8 +225,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end
     per = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     # At most `window` rows, whatever the input.
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    slots = plan_windows(counts, window)
     plan = spark.createDataFrame(
-        plan_windows(counts, window),
+        slots,
         "whole long, low long, high long, cut_from long, cut_length long, copies long, ahead long, sequence long, at long",
     )
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -203,7 +243,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 1024, end
     whole = whole.select(F.col("id").alias(id_col), "start", "length", *names, "doc_tokens", "sequence_id", "offset")
     # Cut pieces are looked up again for their ids.
     cuts = placed(pieces.select("part", "length", "place"), plan.where("cut_length < whole")).select("part", "length", "place", "cut_from", "cut_length", "sequence_id", "offset")
-    cut = pieces.join(cuts, ["part", "length", "place"]).select(
+    n_cut = sum(high - low for whole, low, high, _, length, *_ in slots if length < whole)
+    cut = pieces.join(F.broadcast(cuts) if n_cut <= FEW else cuts, ["part", "length", "place"]).select(
         F.col("id").alias(id_col), (F.col("start") + F.col("cut_from")).alias("start"), F.col("cut_length").alias("length"), "doc_tokens", "sequence_id", "offset",
         F.expr("substring(ids, cast(4 * cut_from + 1 as int), cast(4 * cut_length as int))").alias("ids"),
     )
