@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilframe.plans import features
+from vigilframe.plans import features, reports
 
-QUERIES: dict = {**features.QUERIES}
-ORACLES: dict = {**features.ORACLES}
+QUERIES: dict = {**features.QUERIES, **reports.QUERIES}
+ORACLES: dict = {**features.ORACLES, **reports.ORACLES}
