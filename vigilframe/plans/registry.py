@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigilframe.plans import features, reports
+from vigilframe.plans import features, models, reports
 
-QUERIES: dict = {**features.QUERIES, **reports.QUERIES}
-ORACLES: dict = {**features.ORACLES, **reports.ORACLES}
+QUERIES: dict = {**features.QUERIES, **reports.QUERIES, **models.QUERIES}
+ORACLES: dict = {**features.ORACLES, **reports.ORACLES, **models.ORACLES}
