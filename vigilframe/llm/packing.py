@@ -15,7 +15,7 @@ from array import array
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from vigilframe.llm.common import materialize
 
 #: Words whose ids a worker remembers, and documents it works on at once: bounds on memory.
-CACHE, AT_ONCE = 400_000, 256
+CACHE, AT_ONCE = 150_000, 256
 #: Cut pieces that are looked up by broadcast; more of them are joined.
 FEW = 50_000
 #: How byte-level tokenizers split text before merging (fixed value of the public format).
@@ -31,13 +31,13 @@ BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: A single space between two visible characters always starts a new word of the tokenizer.
 APART = re.compile(r"(?<=\S) (?=\S)")
 
+PIECE = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("place", pa.int64())])
+
 _loaded: dict = {}
 
 
-def merge_ranks(path: str) -> dict[bytes, int] | None:
+def merge_ranks(spec: dict) -> dict[bytes, int] | None:
     """Ranks by bytes of a byte-level BPE file whose ids follow its merges, else None."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     if model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
         return None
@@ -60,12 +60,11 @@ class _Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        ranks, self.fast = merge_ranks(path), None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, self.whole = path, None
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        ranks, self.fast = merge_ranks(spec), None
         if ranks:
             import tiktoken
 
@@ -73,14 +72,21 @@ class _Encoder:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
+    def _slow(self, texts: list[str]) -> list[bytes]:
+        if self.whole is None:  # loaded only where it is needed, as it takes memory
+            from tokenizers import Tokenizer
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self.whole = Tokenizer.from_file(self.path)
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+
     def _learn(self, cache: dict[str, bytes], words: list[str], lead: str) -> None:
-        slow = words
+        slow = [w for w in words if any(s in w for s in self.special)] if self.fast else words
         if self.fast:
-            slow = [w for w in words if any(s in w for s in self.special)]
             for w in words:
                 cache[w] = array("I", self.fast(lead + w)).tobytes()
-        for w, e in zip(slow, self.tokenizer.encode_batch([lead + w for w in slow], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+        if slow:
+            cache.update(zip(slow, self._slow([lead + w for w in slow]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
@@ -109,30 +115,25 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
     ids: little-endian unsigned 32-bit. part and place number the pieces of each length in a task.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(tokenizer_path), TaskContext.get().partitionId()
         end, width = np.array([end_id], "<u4").tobytes(), 4 * window
         next_place = np.zeros(window + 1, np.int64)
-        for pdf in batches:
-            for i in range(0, len(pdf), AT_ONCE):
-                some = pdf.iloc[i : i + AT_ONCE]
+        for batch in batches:
+            for i in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(i, AT_ONCE)
                 rows = []
-                for doc, ids in zip(some["id"], encoder.encode([t or "" for t in some["body"]]), strict=True):
+                for doc, ids in zip(some.column("id").to_pylist(), encoder.encode([t or "" for t in some.column("body").to_pylist()]), strict=True):
                     ids += end
                     for at in range(0, len(ids), width):
                         piece = ids[at : at + width]
                         n = len(piece) // 4
-                        rows.append((doc, at // 4, n, len(ids) // 4, piece, part, next_place[n]))
+                        rows.append((doc, at // 4, n, len(ids) // 4, piece, part, int(next_place[n])))
                         next_place[n] += 1
-                yield pd.DataFrame(rows, columns=["id", "start", "length", "doc_tokens", "ids", "part", "place"]).astype({"id": "Int64"})
-
-    # id as an object column keeps null ids apart from floats
-    source = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("body"))
-
-    def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return cut(pdf.assign(id=[None if x is None else int(x) for x in pdf["id"]]) for pdf in batches)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), PIECE, strict=True)], schema=PIECE)
 
-    return source.mapInPandas(typed, "id long, start long, length long, doc_tokens long, ids binary, part int, place long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    return source.mapInArrow(cut, "id long, start long, length long, doc_tokens long, ids binary, part int, place long")
 
 
 def best_fill(counts: Mapping[int, int], room: int) -> dict[int, int]:

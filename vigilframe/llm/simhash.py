@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ BITS = 64
 #: Node pairs no larger than this are compared leaf by leaf.
 LEAF_PAIRS = 256
 #: Node pairs and leaf comparisons worked on at once; a bound on memory, not on results.
-FRONTIER, EXPAND = 1 << 17, 1 << 21
+FRONTIER, EXPAND, AT_ONCE = 1 << 17, 1 << 20, 256
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
@@ -51,13 +52,15 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     Null text has fingerprint zero.
     """
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in pdf["body"]), np.uint64, len(pdf))
-            yield pd.DataFrame({"id": pdf["id"], "row": pdf["row"], "fp": fp.view(np.int64)})
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.empty(batch.num_rows, np.uint64)
+            for i in range(0, batch.num_rows, AT_ONCE):  # a few texts at a time become Python objects
+                fp[i : i + AT_ONCE] = [fingerprint(t, shingle) for t in batch.column("body").slice(i, AT_ONCE).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(fp.view(np.int64))], names=["id", "row", "fp"])
 
-    source = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).cast("binary").alias("body"))
-    return source.mapInPandas(hashed, "id string, row long, fp long").withColumn("id", F.col("id").cast("long"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).cast("binary").alias("body"))
+    return source.mapInArrow(hashed, "id long, row long, fp long")
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray, code: np.ndarray, bit: int) -> np.ndarray:

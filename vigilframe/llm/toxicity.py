@@ -23,9 +23,11 @@ BITS = 19
 #: Besides whole words, their first bytes of these lengths are features: stems carry over to other endings.
 HEADS = (2, 3, 4, 5, 6, 7)
 #: Most documents of either sample, picked by the hash of their id.
-MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
+MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
 #: A word counts if so many sampled documents have it.
 LEAST_DOCS = 3
+#: Share of the positives that the cut may miss.
+MISSED = 0.02
 EPOCHS, BATCH, RATE, SPARSE = 40, 1024, 0.02, 1e-3
 
 
@@ -51,30 +53,34 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 5) -> tuple[np.ndarray, float]:
-    """(weights, bias) from word lists; Adam with a pull of small weights to zero."""
+def train_nnpu(words: np.ndarray, ends: np.ndarray, n_pos: int, prior: float, seed: int = 5) -> tuple[np.ndarray, float]:
+    """(weights, bias); Adam with a pull of small weights to zero.
+
+    words: the hashed words of all documents one after the other, the n_pos positives first;
+    ends: where each document ends.
+    """
     rng = np.random.default_rng(seed)
-    docs = positive + unlabelled
-    size = np.array([len(x) for x in docs])
-    words = np.concatenate(docs) if len(docs) else np.empty(0, np.int64)
     common = np.bincount(words, minlength=1 << BITS) >= LEAST_DOCS
-    index = np.cumsum(common) - 1
-    starts = np.cumsum(size) - size
-    lists = [index[w[common[w]]] for w in (words[s : s + n] for s, n in zip(starts, size, strict=True))]
-    n_words, n_pos = max(1, int(common.sum())), len(positive)
+    kept = common[words]
+    ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+    starts = np.concatenate([[0], ends[:-1]])
+    flat = (np.cumsum(common) - 1).astype(np.int32)[words[kept]]
+    del words, kept
+    n_unlabelled = len(ends) - n_pos
+    n_words = max(1, int(common.sum()))
     w, b = np.zeros(n_words + 1), n_words  # the last one is the bias
     w[b] = np.log(prior / (1 - prior))
     first, second, step = np.zeros(n_words + 1), np.zeros(n_words + 1), 0
-    half = min(BATCH, len(docs))
+    half = min(BATCH, len(ends))
 
     for _ in range(EPOCHS):
-        order = rng.permutation(len(unlabelled)) + n_pos
+        order = rng.permutation(n_unlabelled) + n_pos
         for s in range(0, len(order), half):
             u = order[s : s + half]
             p = rng.choice(n_pos, min(half, n_pos), replace=False)
             rows = np.concatenate([p, u])
-            ids = np.concatenate([lists[i] for i in rows])
-            owner = np.repeat(np.arange(len(rows)), [len(lists[i]) for i in rows])
+            ids = np.concatenate([flat[starts[i] : ends[i]] for i in rows])
+            owner = np.repeat(np.arange(len(rows)), (ends - starts)[rows])
             f = w[b] + np.bincount(owner, w[ids], len(rows))
             fp, fu = f[: len(p)], f[len(p) :]
             negative = _softplus(fu).mean() - prior * _softplus(fp).mean()
@@ -95,6 +101,12 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
             pull = rate * SPARSE
             pull[b] = 0.0
             w = np.sign(moved) * np.maximum(0, np.abs(moved) - pull)
+    # The pull shrinks scores, so the bias is raised until nearly all positives are at 0.5 or above,
+    # but no more of the unlabelled text than the prior's share.
+    owner = np.repeat(np.arange(len(ends)), ends - starts)
+    f = w[b] + np.bincount(owner, w[flat], len(ends))
+    if n_pos and n_unlabelled:
+        w[b] += min(max(0.0, -np.quantile(f[:n_pos], MISSED)), -np.quantile(f[n_pos:], 1 - prior))
     out = np.zeros(1 << BITS)
     out[common] = w[: int(common.sum())]
     return out, float(w[-1])
@@ -125,13 +137,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
         for pdf in batches:
             doc, word = word_sets(list(pdf["body"]))
             cut = np.searchsorted(doc, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"id": pdf["id"], "positive": pdf["positive"], "words": [word[cut[i] : cut[i + 1]].astype(np.int32) for i in range(len(pdf))]})
-
-    got = rows.mapInPandas(listed, "id long, positive boolean, words array<int>").toPandas()
-    got = got.iloc[np.argsort(textnum.mix(got["id"].to_numpy(np.int64).view(np.uint64)), kind="stable")]
-    lists = [np.asarray(x, np.int64) for x in got["words"]]
-    is_positive = got["positive"].to_numpy(bool)
-    weights, bias = train_nnpu([x for x, p in zip(lists, is_positive, strict=True) if p], [x for x, p in zip(lists, is_positive, strict=True) if not p], prior)
+            yield pd.DataFrame({"id": pdf["id"], "positive": pdf["positive"], "words": [word[cut[i] : cut[i + 1]].astype("<i4").tobytes() for i in range(len(pdf))]})
+
+    got = rows.mapInPandas(listed, "id long, positive boolean, words binary").toPandas()
+    got = got.iloc[np.lexsort([textnum.mix(got["id"].to_numpy(np.int64).view(np.uint64)), ~got["positive"].to_numpy(bool)])]
+    ends, n_pos = np.cumsum(got["words"].map(len).to_numpy(np.int64) // 4), int(got["positive"].sum())
+    words = np.frombuffer(b"".join(got["words"]), "<i4")
+    del got
+    weights, bias = train_nnpu(words, ends, n_pos, prior)
     return ToxicityModel(spark.sparkContext.broadcast(weights), bias, prior)
 
 
