@@ -69,6 +69,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(found.distinct(), "line-chunks")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "first")
     again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")).where("n > 1").select("key", "one")
+    # Written, so that the join shares no exchange with the aggregate and a very common key can be split.
+    again = materialize(again, "line-again")
     marked = found.join(again, "key").select("id", "row", F.struct("first", "lines", "key", (place != F.col("one")).alias("gone")).alias("m"))
     marked = marked.groupBy("id", "row").agg(F.collect_list("m").alias("__line_marks")).withColumnsRenamed({"id": "__line_id", "row": "__line_row"})
 
