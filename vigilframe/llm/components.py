@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from vigilframe.llm.common import materialize
 
+#: Edges that wait for a contraction; a bound on memory, not on results.
+AT_ONCE = 1 << 18
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node of its component) that keep the components of edges (a, b)."""
@@ -34,9 +37,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A spanning forest of the task's edges; edges wait until there are about as many as it has."""
     a = b = np.empty(0, np.int64)
+    more_a, more_b, waiting = [], [], 0
     for pdf in batches:
-        a, b = forest(np.concatenate([a, pdf["src"].to_numpy(np.int64)]), np.concatenate([b, pdf["dst"].to_numpy(np.int64)]))
+        more_a.append(pdf["src"].to_numpy(np.int64))
+        more_b.append(pdf["dst"].to_numpy(np.int64))
+        waiting += len(pdf)
+        if waiting > AT_ONCE + len(a):
+            a, b = forest(np.concatenate([a, *more_a]), np.concatenate([b, *more_b]))
+            more_a, more_b, waiting = [], [], 0
+    a, b = forest(np.concatenate([a, *more_a]), np.concatenate([b, *more_b]))
     yield pd.DataFrame({"src": a, "dst": b})
 
 

@@ -25,7 +25,7 @@ BITS = 64
 #: Node pairs no larger than this are compared leaf by leaf.
 LEAF_PAIRS = 256
 #: Node pairs and leaf comparisons worked on at once; a bound on memory, not on results.
-FRONTIER, EXPAND, AT_ONCE = 1 << 17, 1 << 20, 256
+FRONTIER, EXPAND, AT_ONCE = 1 << 15, 1 << 18, 256
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
