@@ -180,6 +180,30 @@ def test_filter_reads_counts_back(spark):
     assert np.mean(lm_scoring.probe(bits, other) > 0) < 0.2
 
 
+def test_filter_grows_with_the_grams(spark, make_docs):
+    """False hits are as rare for 60 times the grams: nothing caps the filter."""
+    rng = np.random.default_rng(4)
+    size = {}
+    for n in (5_000, 300_000):
+        grams = np.unique(rng.integers(0, 2**63, n, np.uint64))
+        seg, rest = lm_scoring._segment(grams), lm_scoring._rest(grams)
+        cut = np.searchsorted(seg, np.arange(lm_scoring.SEGMENTS + 1))
+        rows = [(s, bytearray(rest[i:j].astype("<u4").tobytes()), bytearray(np.full(j - i, 3, "<u4").tobytes())) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+        bits = lm_scoring.build_filter(spark.createDataFrame(rows, "segment int, grams binary, counts binary"))
+        size[n] = bits.selectExpr("sum(length(bits))").first()[0]
+        assert np.mean(lm_scoring.probe(bits, rng.integers(0, 2**63, 4000, np.uint64)) > 0) < 0.05
+    assert size[300_000] > 15 * size[5_000]
+
+
+def test_rare_words_have_exact_counts(spark, make_docs):
+    """Words outside the head are counted exactly, so only pairs depend on the filter."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(30)) for _ in range(40)]
+    docs = make_docs(list(enumerate(texts)))
+    few, all_ = (sorted((r.doc_id, r.n_known, round(r.score, 9)) for r in lm_scoring.score(docs, lm_scoring.fit(spark, docs, head_words=k)).collect()) for k in (1, 1000))
+    assert few == all_
+
+
 def planted(n, odd_words, share, seed):
     """(texts, labels): labelled texts hold some of odd_words among common ones."""
     rng = random.Random(seed)

@@ -3,10 +3,11 @@
 Tasks count the words and word pairs of their texts by hash. Pairs travel as sorted blocks, one
 per filter segment, and each segment is built where its blocks meet: a count c is kept as
 1 + floor(log2 c) levels, each entered on its own, so that a count is read back by probing one
-level after the other until a probe misses. The filter goes to the workers by broadcast; its
-size follows the number of pairs up to a stated bound. Scores interpolate the pair's relative
-frequency with the word's. Exact word counts serve the base score: the most frequent words go
-out by broadcast, the others are joined.
+level after the other until a probe misses. A segment's size follows the levels entered in it,
+so false hits stay as rare however large the input is. Segments stay rows: texts ask for their
+pairs and rarer words by segment, and the answers meet the texts again by block. Scores
+interpolate the pair's relative frequency with the word's. Word counts are exact: the most
+frequent words go out by broadcast, the others are asked for.
 """
 
 from __future__ import annotations
@@ -26,11 +27,9 @@ from vigilframe.llm.common import materialize
 
 SEGMENTS = 1024
 PROBES = 4
-#: Filter bits for each pair that a task sends; pairs that many tasks send need fewer.
-BITS_PER_GRAM = 5
-#: Most bytes of filter that are broadcast. Beyond it false hits grow; no pair is left out.
-MAX_FILTER_BYTES = 64 << 20
-#: Words whose exact counts are broadcast; the counts of all others are joined.
+#: Filter bits for each level entered: with four probes about 2.4 % of absent levels are hit.
+BITS_PER_LEVEL = 8
+#: Words whose exact counts are broadcast; the counts of all others are asked for.
 HEAD_WORDS = 1 << 18
 #: Weight of the word's own frequency against the pair's, in counts (Dirichlet smoothing).
 PRIOR = 200.0
@@ -96,8 +95,7 @@ def count_grams(docs: DataFrame, text_col: str) -> DataFrame:
         def send() -> Iterator[pd.DataFrame]:
             h, c = _summed(*(np.concatenate(x) for x in zip(*words, strict=True)))
             yield pd.DataFrame({"word": pd.array(h.view(np.int64), "Int64"), "n": pd.array(c, "Int64"), "segment": pd.array([pd.NA] * len(h), "Int32"), "grams": None, "counts": None})
-            # Word counts join the pairs' under their own hash: the filter holds both.
-            g, k = _summed(*(np.concatenate(x) for x in zip(*grams, (textnum.pair(h, h ^ np.uint64(1)), c), strict=True)))
+            g, k = _summed(*(np.concatenate(x) for x in zip(*grams, strict=True)))
             seg = _segment(g)
             cut = np.searchsorted(seg, np.arange(SEGMENTS + 1))
             rest, k = _rest(g), np.minimum(k, 0xFFFFFFFF).astype("<u4")
@@ -136,57 +134,74 @@ def _places(rest: np.ndarray, level: np.ndarray | int, bits: int) -> Iterator[np
         yield ((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * np.uint64(bits) >> np.uint64(32)
 
 
-def build_filter(blocks: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> np.ndarray:
-    """The filter as (SEGMENTS, bytes): at most max_bytes, whatever the input."""
-    sent = blocks.agg(F.sum(F.length("grams") / 4)).first()[0] or 0
-    width = int(max(8, min(max_bytes // SEGMENTS, -(-sent * BITS_PER_GRAM // (8 * SEGMENTS)))))
+def build_filter(blocks: DataFrame) -> DataFrame:
+    """The filter as (segment, bits) rows, each as large as the levels entered in it ask for."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         rest, c = _summed(np.frombuffer(b"".join(pdf["grams"]), "<u4"), np.frombuffer(b"".join(pdf["counts"]), "<u4").astype(np.int64))
         top = np.minimum(np.log2(c).astype(np.int64) + 1, MAX_LEVEL)
+        width = max(8, -(-int(top.sum()) * BITS_PER_LEVEL // 8))
         hit = np.zeros(8 * width, bool)
         for level in range(1, int(top.max(initial=0)) + 1):
             for at in _places(rest[top >= level], level, 8 * width):
                 hit[at] = True
         return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "bits": [np.packbits(hit, bitorder="little").tobytes()]})
 
-    parts = blocks.groupBy("segment").applyInPandas(build, "segment int, bits binary").toPandas()
-    out = np.zeros((SEGMENTS, width), np.uint8)
-    for s, b in zip(parts["segment"], parts["bits"], strict=True):
-        out[s] = np.frombuffer(b, np.uint8)
-    return out
+    return blocks.groupBy("segment").applyInPandas(build, "segment int, bits binary")
 
 
-def probe(filter_: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """Counts of grams by repeated probes: 0 where level 1 misses, else the middle of the last level hit."""
-    width = filter_.shape[1]
-    flat, bits = filter_.reshape(-1), 8 * width
-    rest, base = _rest(gram), _segment(gram) * width
-    level, asked = np.zeros(len(gram), np.int64), np.arange(len(gram))
+def _levels(bits: bytes, rest: np.ndarray) -> np.ndarray:
+    """The last level of each gram that the segment's filter hits, by repeated probes."""
+    flat = np.frombuffer(bits, np.uint8)
+    level, asked = np.zeros(len(rest), np.uint8), np.arange(len(rest))
     for q in range(1, MAX_LEVEL + 1):
         hit = np.ones(len(asked), bool)
-        for at in _places(rest[asked], q, bits):
-            hit &= (flat[base[asked] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        for at in _places(rest[asked], q, 8 * len(flat)):
+            hit &= (flat[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         asked = asked[hit]
         if not len(asked):
             break
         level[asked] = q
+    return level
+
+
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: 0 for none, else the middle of its counts."""
     return np.where(level > 1, 0.75 * 2.0**level - 0.5, level.astype(float))
 
 
+def probe(filter_: DataFrame, gram: np.ndarray) -> np.ndarray:
+    """Counts of grams by the (segment, bits) rows of a small filter."""
+    level, seg, rest = np.zeros(len(gram), np.uint8), _segment(gram), _rest(gram)
+    for row in filter_.toLocalIterator():
+        mine = seg == row["segment"]
+        level[mine] = _levels(bytes(row["bits"]), rest[mine])
+    return _middle(level)
+
+
+def _word_store(words: DataFrame) -> DataFrame:
+    """(segment, words, ns): exact counts of all words, sorted by hash within their segment."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = pdf["word"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "words": [h[order].astype("<u8").tobytes()], "ns": [pdf["n"].to_numpy("<i8")[order].tobytes()]})
+
+    return words.withColumn("segment", F.shiftrightunsigned("word", 54).cast("int")).groupBy("segment").applyInPandas(pack, "segment int, words binary, ns binary")
+
+
 @dataclass
 class LanguageModel:
-    """What scoring needs; every part has a bounded size."""
+    """What scoring needs; only the head leaves Spark, and it has a bounded size."""
 
-    bits: Broadcast  # the filter
+    store: DataFrame  # (segment, bits, words, ns): the filter and the counts of all words
     head: Broadcast  # (hashes sorted, counts) of the most frequent words
-    words: DataFrame  # (word, n) of all words
     n_tokens: int
     n_words: int
     n_docs: int
 
 
-def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, head_words: int = HEAD_WORDS) -> LanguageModel:
+def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text", head_words: int = HEAD_WORDS) -> LanguageModel:
     """Counts all words and pairs of the documents. An empty table gives a model without words."""
     rows = materialize(count_grams(docs, text_col), "lm-grams")
     words = materialize(rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
@@ -195,9 +210,38 @@ def fit(spark: SparkSession, docs: DataFrame, text_col: str = "text", max_filter
     head = words.orderBy(F.desc("n"), "word").limit(head_words).toPandas()
     h = head["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    bits = build_filter(rows.where("segment is not null").select("segment", "grams", "counts"), max_filter_bytes)
-    sc = spark.sparkContext
-    return LanguageModel(sc.broadcast(bits), sc.broadcast((h[order], head["n"].to_numpy(np.int64)[order])), words, total["n"], total["v"], ends["n"] if ends else 0)
+    bits = build_filter(rows.where("segment is not null").select("segment", "grams", "counts"))
+    store = materialize(bits.unionByName(_word_store(words), allowMissingColumns=True), "lm-store")
+    return LanguageModel(store, spark.sparkContext.broadcast((h[order], head["n"].to_numpy(np.int64)[order])), total["n"], total["v"], ends["n"] if ends else 0)
+
+
+def _head_counts(head: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count or 0, whether the head has it) of each word."""
+    words, counts = head
+    if not len(words):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    known = words[at] == h
+    return np.where(known, counts[at], 0), known
+
+
+def _answered(key: tuple, asked: pd.DataFrame, store: pd.DataFrame) -> pd.DataFrame:
+    """Levels of the pairs and counts of the words that blocks ask one segment for."""
+    if not len(asked):
+        return pd.DataFrame({"block": [], "segment": [], "levels": [], "ns": []})
+    n_grams, n_words = asked["grams"].map(len).to_numpy() // 4, asked["words"].map(len).to_numpy() // 8
+    rest, h = np.frombuffer(b"".join(asked["grams"]), "<u4"), np.frombuffer(b"".join(asked["words"]), "<u8")
+    level, n = np.zeros(len(rest), np.uint8), np.zeros(len(h), np.int64)
+    for bits, words, ns in zip(store["bits"], store["words"], store["ns"], strict=True):
+        if bits is not None:
+            level = _levels(bits, rest)
+        if words is not None:
+            n, _ = _head_counts((np.frombuffer(words, "<u8"), np.frombuffer(ns, "<i8")), h)
+    g, w = np.concatenate([[0], np.cumsum(n_grams)]), np.concatenate([[0], np.cumsum(n_words)])
+    return pd.DataFrame({
+        "block": asked["block"], "segment": asked["segment"],
+        "levels": [level[i:j].tobytes() for i, j in zip(g[:-1], g[1:], strict=True)], "ns": [n[i:j].astype("<i8").tobytes() for i, j in zip(w[:-1], w[1:], strict=True)],
+    })
 
 
 def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, prior: float = PRIOR) -> DataFrame:
@@ -208,57 +252,57 @@ def score(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     are one end. Repeated rows and null ids are scored like any other row; an empty table gives
     no rows. Other columns are ignored.
     """
-    bits, head, n_docs = model.bits, model.head, float(model.n_docs)
+    head, n_docs = model.head, float(model.n_docs)
     spread = model.n_tokens + 0.5 * (model.n_words + 1)
     n_all = model.n_tokens
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, counts = head.value
-        filter_ = bits.value
-        part, row = TaskContext.get().partitionId() << 33, 0
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows of each block of texts, and what the block asks each segment for."""
+        block = TaskContext.get().partitionId() << 33
         for pdf in batches:
-            texts = list(pdf["body"])
-            for first, n, doc, h, before in _tokens(texts):
-                at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-                common = words[at] == h if len(words) else np.zeros(len(h), bool)
-                c = np.where(common, counts[at] if len(words) else 0, 0).astype(float)
-                rare = np.flatnonzero(~common)
-                seen = c.copy()
-                seen[rare] = probe(filter_, textnum.pair(h[rare], h[rare] ^ np.uint64(1)))
-                context = np.empty(len(h))
-                context[1:] = seen[:-1]
-                context[before == np.uint64(textnum.BEGIN)] = n_docs
-                both = np.minimum(probe(filter_, textnum.pair(before, h)), np.minimum(context, seen))
-                p_word = (seen + 0.5) / spread
-                logs = np.log10((both + prior * p_word) / (context + prior))
-                base = np.where(common, np.log10((c + 0.5) / spread), 0.0)
-                tails = {}
-                if len(rare):
-                    key, k = np.unique(np.stack([doc[rare].astype(np.uint64), h[rare]]), axis=1, return_counts=True)
-                    cut = np.searchsorted(key[0], np.arange(n + 1).astype(np.uint64))
-                    tails = {d: (key[1, cut[d] : cut[d + 1]].view(np.int64), k[cut[d] : cut[d + 1]]) for d in np.flatnonzero(np.diff(cut))}
-                none = (np.empty(0, np.int64), np.empty(0, np.int64))
+            for first, n, _, h, before in _tokens(list(pdf["body"])):
+                part = pdf.iloc[first : first + n]
+                yield pd.DataFrame({"block": block, "at": pd.array(np.arange(n), "Int32"), "id": part["id"], "held_out": part["held_out"], "body": part["body"], "segment": pd.array([pd.NA] * n, "Int32"), "grams": None, "words": None})
+                g, w = np.unique(textnum.pair(before, h)), np.unique(h)
+                w = w[~_head_counts(head.value, w)[1]]
+                ends = np.arange(SEGMENTS + 1)
+                gc, wc = np.searchsorted(_segment(g), ends), np.searchsorted(_segment(w), ends)
+                some = np.flatnonzero(np.diff(gc) + np.diff(wc))
+                rest = _rest(g).astype("<u4")
                 yield pd.DataFrame({
-                    "row": part + row + first + np.arange(n), "id": pdf["id"].iloc[first : first + n].to_numpy(), "held_out": pdf["held_out"].iloc[first : first + n].to_numpy(),
-                    "n_tokens": np.bincount(doc, minlength=n), "known": np.bincount(doc, common, n).astype(np.int64),
-                    "base": np.bincount(doc, base, n), "score": np.bincount(doc, logs, n),
-                    "rare": [tails.get(d, none)[0] for d in range(n)], "times": [tails.get(d, none)[1] for d in range(n)],
+                    "block": block, "at": pd.array([pd.NA] * len(some), "Int32"), "id": None, "held_out": None, "body": None, "segment": pd.array(some, "Int32"),
+                    "grams": [rest[gc[s] : gc[s + 1]].tobytes() for s in some], "words": [w[wc[s] : wc[s + 1]].astype("<u8").tobytes() for s in some],
                 })
-            row += len(texts)
+                block += 1
+
+    def run(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        pdf, answers = pdf.sort_values("at"), answers.sort_values("segment")
+        found = np.frombuffer(b"".join(answers["levels"]), np.uint8)
+        rare = np.frombuffer(b"".join(answers["ns"]), "<i8")
+        out = []
+        for _, n, doc, h, before in _tokens(list(pdf["body"])):  # one run: the block
+            _, gram = np.unique(textnum.pair(before, h), return_inverse=True)
+            word, at = np.unique(h, return_inverse=True)
+            c, common = _head_counts(head.value, word)
+            c[~common] = rare
+            seen = c[at].astype(float)
+            context = np.empty(len(h))
+            context[1:] = seen[:-1]
+            context[before == np.uint64(textnum.BEGIN)] = n_docs
+            both = np.minimum(_middle(found)[gram], np.minimum(context, seen))
+            p_word = (seen + 0.5) / spread
+            logs = np.log10((both + prior * p_word) / (context + prior))
+            out.append(pd.DataFrame({
+                "id": pdf["id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": np.bincount(doc, minlength=n), "n_known": np.bincount(doc, seen > 0, n).astype(np.int64),
+                "base_score": np.bincount(doc, np.log10(p_word), n), "score": np.bincount(doc, logs, n),
+            }))
+        return pd.concat(out)
 
     held = F.lit(False) if held_out is None else held_out
     source = docs.select(F.col(id_col).cast("string").alias("id"), held.alias("held_out"), F.col(text_col).cast("binary").alias("body"))
-    scored = source.mapInPandas(run, "row long, id string, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<long>")
-    scored = materialize(scored, "lm-scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), "x.times")
-    c = F.coalesce("n", F.lit(0))
-    tail = tail.join(model.words, "word", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(spread)))).alias("tail_base"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"),
-    )
-    return scored.join(tail, "row", "left").select(
-        F.col("id").cast("long").alias(id_col), "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"), "score",
-    )
+    rows = materialize(source.mapInPandas(ask, "block long, at int, id string, held_out boolean, body binary, segment int, grams binary, words binary"), "lm-asked")
+    asked = rows.where("segment is not null").select("block", "segment", "grams", "words")
+    answers = asked.groupBy("segment").cogroup(model.store.groupBy("segment")).applyInPandas(_answered, "block long, segment int, levels binary, ns binary")
+    texts = rows.where("at is not null").select("block", "at", "id", "held_out", "body")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("id").cast("long").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
