@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from vigilframe.llm import embedding_dedup, line_dedup, simhash
+import corpus_pipeline
+from vigilframe.llm import embedding_dedup, line_dedup, shingle_dedup, simhash
 from vigilframe.llm.components import connected_components, forest
 from vigilframe.llm.exact_dedup import content_sort_dedup
 from vigilframe.llm.line_dedup import EVERY, SPAN
@@ -147,6 +148,31 @@ def test_near_duplicates_keep_one_row(make_docs, odd):
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 10, 3, 6, 7, 9]
 
 
+def test_pipeline_finds_all_pairs_at_08(spark, make_docs, odd):
+    """Chains and groups of edited copies against all pairs of shingle sets."""
+    rng = random.Random(8)
+    rows = list(odd)
+    for base in range(12):
+        words = [f"b{base}w{rng.randrange(500)}" for _ in range(120)]
+        for _ in range(8):
+            if rng.random() < 0.5:
+                words = list(words)
+            copy = words if rng.random() < 0.5 else list(words)
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(120)] = f"e{rng.random()}"
+            rows.append((1000 + len(rows), " ".join(copy)))
+    sets = [set(shingle_dedup.shingles((t or "").encode(), 5).tolist()) for _, t in rows]
+    order = range(len(rows))
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    label = components_brute(order, [(i, j) for i in order for j in range(i) if alike(sets[i], sets[j])])
+    kept: dict = {}
+    for i in order:
+        kept[label[i]] = min(kept.get(label[i], (True, 0)), (rows[i][0] is None, rows[i][0] or 0))
+    got = corpus_pipeline.drop_near_copies(spark, make_docs(rows), "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for _, i in kept.values())
+    assert len(kept) < len(rows) / 2
+
+
 @pytest.mark.parametrize("spread", [3, 12, 40])
 def test_trie_join_against_all_pairs(spark, spread):
     rng = np.random.default_rng(spread)

@@ -186,7 +186,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 3, id_col:
 
     Texts without words are one group. Of rows that agree in id and text one stays.
     """
-    rows = materialize(_grouped(docs, shingle, budget, id_col, text_col).select("id", "row", "label"), "near-rows")
+    return keep_one(docs, materialize(_grouped(docs, shingle, budget, id_col, text_col).select("id", "row", "label"), "near-rows"), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each label of (id, row, label): that of the smallest id, null ids last."""
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
     stays = rows.groupBy("label").agg(F.min(place).alias("stays"))
     gone = rows.join(stays, "label").where(place != F.col("stays")).select(F.col("row").alias("__near_row")).distinct()
