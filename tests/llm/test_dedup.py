@@ -102,6 +102,36 @@ def test_lines_tables(documents, make_docs):
     assert line_dedup.line_dedup(make_docs([])).count() == 0
 
 
+def passages_brute(rows):
+    """Each line goes that lies in a pair of lines, or is a long line, that an earlier place has."""
+    seen, out = {}, []
+    places = []
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        pieces = [(k, tuple(lines[k : k + 2])) for k in range(len(lines) - 1) if any(x.strip(" ") for x in lines[k : k + 2])]
+        pieces += [(k, (x,)) for k, x in enumerate(lines) if len(x.split()) > line_dedup.LONG_LINE]
+        places.append((i, lines, pieces))
+        for k, p in pieces:
+            seen[p] = min(seen.get(p, (i, k)), (i, k))
+    for i, lines, pieces in places:
+        gone = {n for k, p in pieces if seen[p] < (i, k) for n in range(k, k + len(p))}
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("bits", [64, 3])
+def test_passages_go_wherever_they_lie(spark, make_docs, bits):
+    """Repeated passages of 2 to 10 lines and long single lines are removed whole."""
+    rng = random.Random(9)
+    passages = [[f"p{n}-{k}" for k in range(n)] for n in (2, 3, 4, 6, 10)] + [[" ".join(f"long{i}" for i in range(60))]]
+    rows = [(i, "\n".join([f"own {rng.random()}", *p, "", "", f"end {rng.random()}"])) for i, p in enumerate(passages * 4)]
+    rows += [(100 + i, "\n".join(rng.choice("pqrs") for _ in range(20))) for i in range(8)]
+    rows += [(200, "a single line"), (201, "a single line"), (202, "")]
+    got = line_dedup.line_dedup(make_docs(rows), min_lines=1, detail_col="d", key_bits=bits, pieces=line_dedup.passages_of).collect()
+    assert sorted((r.doc_id, r.text, r.d.removed_lines) for r in got) == passages_brute(rows)
+    assert not any("p" in r.text or "long" in r.text for r in got if len(passages) <= r.doc_id < 100)
+
+
 def fp_brute(text, n):
     words = (text or "").translate(LOWER)
     words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in words).split(" ") if w]

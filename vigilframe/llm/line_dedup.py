@@ -2,18 +2,24 @@
 
 A rolling hash over the hashes of neighbouring lines sets chunk boundaries, so that inserted or
 removed lines shift no boundary but those beside them. Chunks of several lines whose hash occurs
-again are compared byte by byte, and all occurrences but the first go.
+again are compared byte by byte, and all occurrences but the first go. Alternatively the pieces
+that are compared are all pairs of neighbouring lines and all long lines: those overlap, so that
+no boundary hides a part of a repeated passage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import materialize
+from vigilframe.llm.common import materialize, word_count
 
 #: Lines that the rolling hash covers, and one boundary in so many lines on average.
 SPAN, EVERY = 2, 3
+#: A line of more words than this is a passage of its own.
+LONG_LINE = 50
 
 
 def _rotated(h: Column, by: int) -> Column:
@@ -48,11 +54,25 @@ def chunks_of(text: Column, span: int = SPAN, every: int = EVERY) -> Column:
     return let(let(hashes, lambda h: F.struct(h.alias("h"), cut(ends(h)).alias("c"))), keyed)
 
 
-def chunk_text(text: Column, first: Column, lines: Column) -> Column:
-    return F.array_join(F.slice(F.split(text, "\n", -1), first + 1, lines), "\n")
+def passages_of(text: Column) -> Column:
+    """array<struct<first, lines, key>>: every two neighbouring lines and every long line of a text.
+
+    Every repeated passage of two or more lines is made up of such pairs. Two blank lines are no passage.
+    """
+    lines = F.split(text, "\n", -1)
+
+    def keyed(a: Column) -> Column:
+        two = F.transform(F.slice(a, 1, F.size(a) - 1), lambda x, i: F.struct(i.alias("first"), F.lit(2).alias("lines"), F.xxhash64(x["h"], F.get(a, i + 1)["h"]).alias("key"), (x["blank"] & F.get(a, i + 1)["blank"]).alias("blank")))
+        one = F.transform(a, lambda x, i: F.struct(i.alias("first"), F.lit(1).alias("lines"), x["h"].alias("key"), (~x["long"]).alias("blank")))
+        return F.transform(F.filter(F.concat(two, one), lambda p: ~p["blank"]), lambda p: F.struct(p["first"].alias("first"), p["lines"].alias("lines"), p["key"].alias("key")))
+
+    # A line of that many words has at least twice as many characters.
+    long = lambda x: F.when(F.length(x) > 2 * LONG_LINE, word_count(x) > LONG_LINE).otherwise(F.lit(False))
+    seen = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.trim(x) == "").alias("blank"), long(x).alias("long")))
+    return F.transform(F.array(seen), keyed)[0]
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, detail_col: str | None = None, key_bits: int = 64) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, detail_col: str | None = None, key_bits: int = 64, pieces: Callable[[Column], Column] = chunks_of) -> DataFrame:
     """All rows and columns of docs, the text without chunks of min_lines lines or more seen before.
 
     The first occurrence is that of the smallest id (null ids last), then the earliest in the
@@ -60,10 +80,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that agree in id and text are one document: they keep the same chunks. An empty table
     gives no rows. Columns of any name pass through, save names that start with "__line".
     detail_col adds struct<lines, removed_lines, removed_chunks>. key_bits shortens the hash by
-    which chunks find each other; what is removed does not depend on it.
+    which chunks find each other; what is removed does not depend on it. pieces may overlap
+    (passages_of, with min_lines=1): a line goes if any piece that holds it was seen before.
     """
     text, row = F.col(text_col), F.xxhash64(F.col(id_col), F.col(text_col))
-    base = docs.where(text.isNotNull()).select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.explode(chunks_of(text)).alias("c"))
+    base = docs.where(text.isNotNull()).select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.explode(pieces(text)).alias("c"))
     key = F.shiftrightunsigned(F.col("c.key"), 64 - key_bits) if key_bits < 64 else F.col("c.key")
     found = base.where(F.col("c.lines") >= min_lines).select("id", "row", F.col("c.first").alias("first"), F.col("c.lines").alias("lines"), key.alias("key"))
     found = materialize(found.distinct(), "line-chunks")
@@ -79,24 +100,28 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = materialize(joined.drop("__line_id", "__line_row"), "line-docs")
 
     # Byte comparison: all texts of a key are equal if the smallest and the largest are.
-    shown = joined.where(F.col("__line_marks").isNotNull()).select(F.col("__line_key_id").alias("id"), F.col("__line_key").alias("row"), text.alias("body"), F.explode("__line_marks").alias("m"))
-    shown = shown.select("id", "row", F.col("m.key").alias("key"), F.col("m.first").alias("first"), chunk_text(F.col("body"), F.col("m.first"), F.col("m.lines")).alias("chunk"))
+    lines, marked = F.split(text, "\n", -1), F.col("__line_marks")
+    chunk = lambda a, m: F.array_join(F.slice(a, m["first"] + 1, m["lines"]), "\n")
+    # Bound by a lambda, so that a text is split once and not for each mark.
+    cuts = F.transform(F.array(lines), lambda a: F.transform(marked, lambda m: F.struct(m["key"].alias("key"), m["first"].alias("first"), m["lines"].alias("lines"), chunk(a, m).alias("chunk"))))[0]
+    shown = joined.where(marked.isNotNull()).select(F.col("__line_key_id").alias("id"), F.col("__line_key").alias("row"), F.explode(cuts).alias("m")).select("id", "row", "m.*")
     clash = materialize(shown.groupBy("key").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").select("key"), "line-clash")
     marks = F.filter("__line_marks", lambda m: m["gone"])
     if not clash.isEmpty():
         # Different chunks share a key: their own texts decide which of them were seen before.
         unsure = materialize(shown.join(clash, "key"), "line-unsure")
         firsts = unsure.groupBy("key", "chunk").agg(F.min(place).alias("one"))
-        stay = unsure.join(firsts, ["key", "chunk"]).where(place == F.col("one")).groupBy("row", "id").agg(F.collect_set("first").alias("__line_stay")).withColumnsRenamed({"id": "__line_id", "row": "__line_row"})
+        stay = unsure.join(firsts, ["key", "chunk"]).where(place == F.col("one")).groupBy("row", "id").agg(F.collect_set(F.struct("first", "lines", "key")).alias("__line_stay")).withColumnsRenamed({"id": "__line_id", "row": "__line_row"})
         joined = joined.join(stay, (joined["__line_key"] == stay["__line_row"]) & joined["__line_key_id"].eqNullSafe(stay["__line_id"]), "left")
-        marks = F.filter("__line_marks", lambda m: m["gone"] & ~F.coalesce(F.array_contains(F.col("__line_stay"), m["first"]), F.lit(False)))
+        marks = F.filter("__line_marks", lambda m: m["gone"] & ~F.coalesce(F.array_contains(F.col("__line_stay"), F.struct(m["first"], m["lines"], m["key"])), F.lit(False)))
 
     joined = joined.withColumn("__line_gone", F.coalesce(marks, F.array().cast("array<struct<first:int,lines:int,key:bigint,gone:boolean>>")))
     gone = F.col("__line_gone")
-    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.exists(gone, lambda m: (i >= m["first"]) & (i < m["first"] + m["lines"])))
+    at = F.array_distinct(F.flatten(F.transform(gone, lambda m: F.sequence(m["first"], m["first"] + m["lines"] - 1))))
+    left = F.transform(F.array(at), lambda g: F.filter(lines, lambda x, i: ~F.array_contains(g, i)))[0]
     new = F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(text)
     out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if detail_col:
-        removed = F.aggregate(gone, F.lit(0), lambda s, m: s + m["lines"])
+        removed = F.size(at)
         out.append(F.struct(F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).alias("lines"), removed.alias("removed_lines"), F.size(gone).alias("removed_chunks")).alias(detail_col))
     return joined.select(*out)

@@ -11,7 +11,7 @@ from vigilframe.llm import lm_scoring, quality, toxicity
 from vigilframe.llm.common import held_out, materialize, shared_dir, table, word_count
 from vigilframe.llm.embedding_dedup import near_vectors
 from vigilframe.llm.exact_dedup import content_sort_dedup
-from vigilframe.llm.line_dedup import line_dedup
+from vigilframe.llm.line_dedup import line_dedup, passages_of
 from vigilframe.llm.mixing import mix_sources
 from vigilframe.llm.packing import pack_documents
 from vigilframe.llm.simhash import simhash_groups
@@ -50,9 +50,9 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts without chunks of two or more lines that an earlier document or passage has."""
+    """The texts without passages of two or more lines, or one long line, that an earlier document or passage has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup(docs, detail_col="found").select("doc_id", F.col("found.lines").alias("n_lines"), "found.removed_lines", "found.removed_chunks", "text")
+    return line_dedup(docs, min_lines=1, detail_col="found", pieces=passages_of).select("doc_id", F.col("found.lines").alias("n_lines"), "found.removed_lines", "found.removed_chunks", "text")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
