@@ -51,7 +51,7 @@ def chunks_of(text: Column, span: int = SPAN, every: int = EVERY) -> Column:
         return F.transform(pair["c"], lambda c: F.struct(c["first"].alias("first"), c["lines"].alias("lines"), F.xxhash64(F.slice(pair["h"], c["first"] + 1, c["lines"])).alias("key")))
 
     let = lambda value, use: F.transform(F.array(value), use)[0]
-    return let(let(hashes, lambda h: F.struct(h.alias("h"), cut(ends(h)).alias("c"))), keyed)
+    return let(let(hashes, lambda h: F.struct(h.alias("h"), let(ends(h), cut).alias("c"))), keyed)
 
 
 def passages_of(text: Column) -> Column:
@@ -118,7 +118,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = joined.withColumn("__line_gone", F.coalesce(marks, F.array().cast("array<struct<first:int,lines:int,key:bigint,gone:boolean>>")))
     gone = F.col("__line_gone")
     at = F.array_distinct(F.flatten(F.transform(gone, lambda m: F.sequence(m["first"], m["first"] + m["lines"] - 1))))
-    left = F.transform(F.array(at), lambda g: F.filter(lines, lambda x, i: ~F.array_contains(g, i)))[0]
+    # A set difference and bound arrays: the work grows with the lines, not with lines times marks.
+    both = F.struct(lines.alias("all"), at.alias("gone"))
+    left = F.transform(F.array(both), lambda b: F.transform(F.array_except(F.sequence(F.lit(0), F.size(b["all"]) - 1), b["gone"]), lambda i: F.get(b["all"], i)))[0]
     new = F.when(F.size(gone) > 0, F.array_join(left, "\n")).otherwise(text)
     out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if detail_col:
