@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigilframe.llm import embedding_dedup, line_dedup, shingle_dedup, simhash
+from vigilframe.llm import common, embedding_dedup, line_dedup, mixing, shingle_dedup, simhash
 from vigilframe.llm.components import connected_components, forest
 from vigilframe.llm.exact_dedup import content_sort_dedup
 from vigilframe.llm.line_dedup import EVERY, SPAN
@@ -132,6 +135,18 @@ def test_passages_go_wherever_they_lie(spark, make_docs, bits):
     assert not any("p" in r.text or "long" in r.text for r in got if len(passages) <= r.doc_id < 100)
 
 
+@pytest.mark.parametrize("pieces, least", [(line_dedup.chunks_of, 2), (line_dedup.passages_of, 1)])
+def test_time_grows_with_the_lines(make_docs, pieces, least):
+    """Two equal texts of 100,000 lines: lines times marks would take hours."""
+    text = "\n".join(f"line {i}" for i in range(100_000))
+    began = time.time()
+    rows = [(1, text), (2, text), (3, text + "\nend")]
+    got = [(r.doc_id, r.text) for r in line_dedup.line_dedup(make_docs(rows), min_lines=least, pieces=pieces).collect()]
+    assert time.time() - began < 60
+    want = line_brute(rows) if least == 2 else [(i, x) for i, x, _ in passages_brute(rows)]
+    assert sorted(got) == want and len(want[1][1]) < len(text) / 5
+
+
 def fp_brute(text, n):
     words = (text or "").translate(LOWER)
     words = [w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in words).split(" ") if w]
@@ -171,6 +186,25 @@ def test_simhash(spark, make_docs, odd, documents):
     assert simhash.simhash_groups(make_docs([])).count() == 0
 
 
+def test_similar_pairs_against_sets():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 300, np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < p, rng.integers(0, 2**63, 300, np.uint64), base)) for p in rng.uniform(0, 0.3, 60)] + [np.empty(0, np.uint64), base[:1], base[:1]]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if shingle_dedup.similarity_of(sets[i], sets[j]) >= 0.8}
+    assert set(zip(*(x.tolist() for x in shingle_dedup.similar_pairs(sets, 0, 0.8)), strict=True)) == alike and len(alike) > 100
+    assert set(zip(*(x.tolist() for x in shingle_dedup.similar_pairs(sets, 20, 0.8)), strict=True)) == {(i, j) for i, j in alike if i < 20 <= j}
+
+
+def test_rows_are_told_apart_by_id_and_hash(make_docs, monkeypatch):
+    """All hashes are equal: the ids still tell documents apart."""
+    for module in (common, simhash, shingle_dedup, mixing):
+        monkeypatch.setattr(module, "row_hash", lambda *columns: F.lit(7).cast("long"))
+    docs = make_docs([(i, f"text number {i} of its own kind {i * i} {i + 77}") for i in range(20)] + [(None, "alone here")])
+    assert simhash.near_duplicates(docs, shingle=3).count() == simhash.near_duplicates(docs, shingle=3, similarity=0.8).count() == 21
+    drawn = {r.doc_id: r.copies for r in mixing.mix_sources(docs, share=1.0).collect()}
+    assert Counter(r.doc_id for r in mixing.mixed_documents(docs, share=1.0).collect()) == {i: n for i, n in drawn.items() if n}
+
+
 def test_near_duplicates_keep_one_row(make_docs, odd):
     docs = make_docs(odd)
     out = simhash.near_duplicates(docs, shingle=3)
@@ -178,8 +212,11 @@ def test_near_duplicates_keep_one_row(make_docs, odd):
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 10, 3, 6, 7, 9]
 
 
-def test_pipeline_finds_all_pairs_at_08(spark, make_docs, odd):
+@pytest.mark.parametrize("part", [512, 7])
+def test_pipeline_finds_all_pairs_at_08(spark, make_docs, odd, monkeypatch, part):
     """Chains and groups of edited copies against all pairs of shingle sets."""
+    monkeypatch.setattr(shingle_dedup, "PART", part)  # buckets are split
+    monkeypatch.setattr(shingle_dedup, "ROUNDS", 1)
     rng = random.Random(8)
     rows = list(odd)
     for base in range(12):

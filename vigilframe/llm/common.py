@@ -48,7 +48,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vigilframe/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialize wrote, once nothing reads it any more. What a result still reads stays."""
+    for df in tables:
+        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
+def row_hash(*columns: Column | str) -> Column:
+    """Tells rows of one id apart; rows are matched by their id and this, never by this alone."""
+    return F.xxhash64(*columns)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

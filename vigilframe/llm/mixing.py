@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import materialize, uniform, word_count
+from vigilframe.llm.common import materialize, row_hash, uniform, word_count
 
 #: Documents in a block on average, and blocks that a block of the next level joins.
 FAN_IN = 64
@@ -100,13 +100,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     taken is copies times size; the sum over a source differs from its target by less than the
     size of one document, usually a small one. Reruns agree, as chance comes from hashes.
     Null text has no words; a document without words, or of a source that takes nothing, has
-    taken 0. A null source is a source of its own, the last. Repeated rows are drawn one by one.
+    taken 0. A null source is a source of its own, the last. Repeated rows are drawn one by one;
+    of equal sizes the hash decides which meet first. A very long text counts whole, so a source
+    that has little else may miss its target by up to that text. An empty table gives no rows.
     most must be a whole number or share must keep targets below it. Other columns are ignored.
     """
     size = word_count(F.col(text_col))
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size"),
-        F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col), F.lit(seed)).alias("h"),
+        row_hash(F.col(id_col), F.col(source_col), F.col(text_col), F.lit(seed)).alias("h"),
     )
     rows = materialize(rows, "mix-rows")
     plan = source_targets(rows.select("source", "size"), weights, share, most)
@@ -156,11 +158,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **mix) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it was drawn.
 
-    Documents without words add nothing to the mix and go.
+    Documents without words, null texts included, add nothing to the mix and go. Very long texts
+    are taken whole. Repeated rows are drawn one by one. An empty table gives no rows. Columns of
+    any name pass through, save names that start with "__mix".
     """
     drawn = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **mix)
-    drawn = drawn.groupBy("row_hash").agg(F.sum("copies").alias("__copies"), F.max("size").alias("__size")).where("__copies > 0 and __size > 0")
-    key = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col), F.lit(seed))
+    names = {"doc": id_col, "hash": "row_hash"}
+    drawn = drawn.groupBy(*[F.col(c).alias(f"__mix_{n}") for n, c in names.items()]).agg(F.sum("copies").alias("__mix_copies"), F.max("size").alias("__mix_size")).where("__mix_copies > 0 and __mix_size > 0")
     # Rows that agree in id, source and text are one draw with the copies of all.
-    keyed = docs.withColumn("__row", key).withColumn("__first", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1)))).where("__first = 1")
-    return keyed.join(drawn.withColumnRenamed("row_hash", "__row"), "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[f"`{c}`" for c in docs.columns])
+    key = row_hash(F.col(id_col), F.col(source_col), F.col(text_col), F.lit(seed))
+    first = F.row_number().over(Window.partitionBy("__mix_id", "__mix_row").orderBy(F.lit(1)))
+    keyed = docs.withColumns({"__mix_id": F.col(id_col).cast("long"), "__mix_row": key}).withColumn("__mix_first", first).where("__mix_first = 1")
+    same = keyed["__mix_id"].eqNullSafe(F.col("__mix_doc")) & (keyed["__mix_row"] == F.col("__mix_hash"))
+    return keyed.join(drawn, same).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[f"`{c}`" for c in docs.columns])

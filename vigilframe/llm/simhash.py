@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import materialize
+from vigilframe.llm.common import discard, materialize, row_hash
 from vigilframe.llm.components import connected_components, forest
 
 BITS = 64
@@ -28,6 +28,14 @@ LEAF_PAIRS = 256
 FRONTIER, EXPAND, AT_ONCE = 1 << 15, 1 << 18, 256
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(h[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, shingle: int) -> int:
     """SimHash of a text: words lower-cased in A-Z, shingles hashed by XXH64 with seed 42."""
     words = (text or b"").lower().split()
@@ -40,10 +48,7 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     starts = np.concatenate([[0], ends[:-1]])[:n]
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(flat[s:e], 42) for s, e in zip(starts.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, 1 << 15):
-        ones += np.unpackbits(h[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
                 fp[i : i + AT_ONCE] = [fingerprint(t, shingle) for t in batch.column("body").slice(i, AT_ONCE).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(fp.view(np.int64))], names=["id", "row", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).cast("binary").alias("body"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("body"))
     return source.mapInArrow(hashed, "id long, row long, fp long")
 
 
@@ -166,7 +171,10 @@ def _grouped(docs: DataFrame, shingle: int, budget: int, id_col: str, text_col:
     rows = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
     labels = connected_components(fingerprint_links(rows.select("fp").distinct(), budget)).withColumnRenamed("node", "fp")
     labels = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")).join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "simhash-labels")
-    named = labels.join(labels.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("fp", "label", "component_id")
+    # Written, as every aggregate that a join may meet a hot key on: the join can then be split.
+    lowest = materialize(labels.groupBy("label").agg(F.min("low").alias("component_id")), "simhash-lowest")
+    named = materialize(labels.join(lowest, "label").select("fp", "label", "component_id"), "simhash-named")
+    discard(labels, lowest)
     return rows.join(named, "fp")
 
 
@@ -175,30 +183,41 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = 3, id_col: s
 
     Rows link when their fingerprints differ in at most budget bits; component_id is the smallest
     id reachable. Texts without words, null included, have fingerprint zero and link like others.
-    Repeated rows share a component. A null id gets the component's smallest other id, or null.
-    An empty table gives no rows. Other columns are ignored.
+    Very long texts are hashed whole. Repeated rows share a component. A null id gets the
+    component's smallest other id, or null. An empty table gives no rows. Other columns are
+    ignored.
     """
     return _grouped(docs, shingle, budget, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """docs, all columns, with one row of each group: that of the smallest id, null ids last.
 
-    Texts without words are one group. Of rows that agree in id and text one stays.
+    Rows link when their fingerprints differ in at most budget bits. With similarity, they link
+    when the Jaccard similarity of their shingle sets is at least that: the trie's links are
+    confirmed on the whole sets, and bands of the sets find the pairs that 64 bits leave beyond
+    the budget. Texts without words are one group. Very long texts are compared whole. Of rows
+    that agree in id and text one stays. An empty table gives no rows. Columns of any name pass
+    through, save names that start with "__near".
     """
+    if similarity is not None:
+        from vigilframe.llm.shingle_dedup import similar_rows
+
+        return keep_one(docs, similar_rows(docs, shingle, similarity, budget, id_col, text_col), id_col, text_col)
     return keep_one(docs, materialize(_grouped(docs, shingle, budget, id_col, text_col).select("id", "row", "label"), "near-rows"), id_col, text_col)
 
 
 def keep_one(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with one row of each label of (id, row, label): that of the smallest id, null ids last."""
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    stays = rows.groupBy("label").agg(F.min(place).alias("stays"))
-    gone = rows.join(stays, "label").where(place != F.col("stays")).select(F.col("row").alias("__near_row")).distinct()
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    left = docs.withColumn("__near_row", key).join(gone, "__near_row", "left_anti")
-    repeats = materialize(rows.groupBy("row").count().where("count > 1").select(F.col("row").alias("__near_row")), "near-repeats")
+    stays = materialize(rows.groupBy("label").agg(F.min(place).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "stays"), "near-stays")
+    gone = rows.join(stays, "label").where(place != F.col("stays")).select(F.col("id").alias("__near_of"), F.col("row").alias("__near_hash")).distinct()
+    keyed = docs.withColumns({"__near_id": F.col(id_col).cast("long"), "__near_row": row_hash(id_col, text_col)})
+    same = keyed["__near_id"].eqNullSafe(F.col("__near_of")) & (keyed["__near_row"] == F.col("__near_hash"))
+    left = keyed.join(gone, same, "left_anti")
+    repeats = materialize(rows.groupBy("id", "row").count().where("count > 1").select(F.col("id").alias("__near_of"), F.col("row").alias("__near_hash")), "near-repeats")
     if not repeats.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("__near_row").orderBy(F.lit(1)))
-        one = left.join(repeats, "__near_row", "left_semi").withColumn("__near_nth", nth).where("__near_nth = 1").drop("__near_nth")
-        left = left.join(repeats, "__near_row", "left_anti").unionByName(one)
+        nth = F.row_number().over(Window.partitionBy("__near_id", "__near_row").orderBy(F.lit(1)))
+        one = left.join(repeats, same, "left_semi").withColumn("__near_nth", nth).where("__near_nth = 1").drop("__near_nth")
+        left = left.join(repeats, same, "left_anti").unionByName(one)
     return left.select(*[f"`{c}`" for c in docs.columns])
