@@ -180,6 +180,82 @@ def test_filter_reads_counts_back(spark):
     assert np.mean(lm_scoring.probe(bits, other) > 0) < 0.2
 
 
+def test_long_regular_words_have_hashes_of_their_own(spark, make_docs):
+    """Two words that sums of powers can't tell apart (each letter stands at the other's places)."""
+    turn = "a"
+    while len(turn) < 2048:
+        turn += turn.translate(str.maketrans("ab", "ba"))
+    other = turn.translate(str.maketrans("ab", "ba"))
+    docs = make_docs([(1, turn), (2, turn), (3, other)])
+    got = {r.doc_id: r.base_score for r in lm_scoring.score(docs, lm_scoring.fit(spark, docs)).collect()}
+    n, v = 6, 3
+    want = {i: math.log10((c + 0.5) / (n + 0.5 * (v + 1))) + math.log10(3.5 / (n + 0.5 * (v + 1))) for i, c in ((1, 2), (2, 2), (3, 1))}
+    assert got == pytest.approx(want)
+
+
+def lm_brute(rows, trained):
+    """Scores by exact counts that are cut to their levels."""
+    tokens = {i: [*WORD.findall(low(t)), "\n"] for i, t in rows}
+    words = Counter(w for i in trained for w in tokens[i])
+    pairs = Counter(p for i in trained for p in zip([None, *tokens[i]], tokens[i]))  # noqa: B905
+    spread = sum(words.values()) + 0.5 * (len(words) + 1)
+
+    def log(before, w):
+        c, context = pairs[before, w], len(trained) if before is None else words[before]
+        middle = c if c < 2 else 0.75 * 2.0 ** c.bit_length() - 0.5
+        return math.log10((min(middle, context, words[w]) + lm_scoring.PRIOR * (words[w] + 0.5) / spread) / (context + lm_scoring.PRIOR))
+
+    return {i: sum(log(b, w) for b, w in zip([None, *x], x)) for i, x in tokens.items()}  # noqa: B905
+
+
+@pytest.mark.parametrize("block", [4_000, lm_scoring.BLOCK])
+def test_lm_scores_against_exact_counts(spark, make_docs, documents, block):
+    """The same scores whether the filter is broadcast or asked by segment; false hits alone raise a score."""
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + [(100_000 + i, t) for i, t in enumerate([None, "", " \t", "x" * 5000, "word " * 3000])]
+    trained = [i for i, _ in rows if i % 3]
+    docs = make_docs(rows)
+    want = lm_brute(rows, trained)
+    runs = {}
+    for most in (0, lm_scoring.MAX_BROADCAST):
+        model = lm_scoring.fit(spark, docs.where("doc_id % 3 <> 0"), head_words=100, max_broadcast=most)
+        assert (model.filter is None) == (most == 0)
+        runs[most] = {r.doc_id: r.score for r in lm_scoring.score(docs, model, block_bytes=block).collect()}
+    few = lm_scoring.fit(spark, docs.where("doc_id % 3 <> 0"), head_words=100, head_pairs=2000, max_broadcast=0)
+    assert len(few.pairs.value[0]) <= 2048 < len(model.filter.value[0])
+    assert {r.doc_id: r.score for r in lm_scoring.score(docs, few, block_bytes=block).collect()} == pytest.approx(runs[0], abs=1e-9)
+    first, second = runs.values()
+    assert first == pytest.approx(second, abs=1e-9)
+    assert all(first[i] >= want[i] - 1e-6 for i in want)
+    assert np.mean([first[i] - want[i] < 0.01 * abs(want[i]) for i in want]) > 0.9
+    sparse = lm_scoring.fit(spark, docs.where("doc_id % 3 <> 0"), head_words=100, max_broadcast=0, bits_per_level=400)  # hardly a false hit
+    exact = lm_scoring.score(docs, sparse).collect()
+    assert {r.doc_id: r.score for r in exact} == pytest.approx(want, rel=1e-6)
+
+
+@pytest.mark.parametrize("n", [3_000, 60_000, 600_000])
+def test_filter_is_as_full_at_every_size(spark, n):
+    rng = np.random.default_rng(n)
+    grams = np.unique(rng.integers(0, 2**63, n, np.uint64))
+    counts = np.minimum(rng.zipf(1.7, len(grams)), 10**6)
+    seg, rest = lm_scoring._segment(grams), lm_scoring._rest(grams).astype("<u4")
+    cut = np.searchsorted(seg, np.arange(lm_scoring.SEGMENTS + 1))
+    pdf = [(s, bytearray(rest[i:j].tobytes()), bytearray(counts[i:j].astype("<u4").tobytes())) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+    bits = lm_scoring.build_filter(spark.createDataFrame(pdf, "segment long, grams binary, counts binary")).persist()
+    whole = np.concatenate([np.frombuffer(r["bits"], np.uint8) for r in bits.collect()])
+    assert np.bitwise_count(whole).sum() / (8 * len(whole)) <= 0.55
+    other = rng.integers(2**63, 2**64, 40_000, np.uint64) ^ np.uint64(1 << 63)
+    assert np.mean(lm_scoring.probe(bits, other) > 0) < 0.02
+    read, level = lm_scoring.probe(bits, grams), np.floor(np.log2(counts))
+    assert (read >= 2**level * 0.99).all() and np.mean(read <= 2 ** (level + 1)) > 0.95
+
+
+def test_segments_follow_the_text():
+    assert lm_scoring.segments_for(0) == lm_scoring.segments_for(16 << 30) == 1024
+    assert lm_scoring.segments_for((16 << 30) + 1) == 2048
+    h = np.array([0, 2**63, 2**64 - 1], np.uint64)
+    assert lm_scoring._segment(h, 2048).tolist() == [0, 1024, 2047]
+
+
 def test_filter_grows_with_the_grams(spark, make_docs):
     """False hits are as rare for 60 times the grams: nothing caps the filter."""
     rng = np.random.default_rng(4)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import xxhash
 
 #: Bytes of text worked on at once: a bound on memory.
 CHUNK = 1 << 20
+#: Longer words are hashed by XXH64: sums of powers of an odd base repeat for long words of a regular build.
+SHORT = 24
 _BASE = 0x9E3779B97F4A7C15
 _draw = np.random.default_rng(20240229)
 _BYTE = _draw.integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -54,8 +57,10 @@ def _hash_words(flat: bytes, breaks: np.ndarray = _SPACE, heads: Sequence[int] =
     _grow(len(a) + 1)
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_BYTE[a] * _powers[: len(a)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _inverse[starts]
-    found, at = [mix(h + (ends - starts).astype(np.uint64))], [starts]
+    h = mix((sums[ends] - sums[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > SHORT):
+        h[i] = xxhash.xxh64_intdigest(flat[starts[i] : ends[i]], 42)
+    found, at = [h], [starts]
     for n in heads:
         longer = starts[ends - starts > n]
         found.append(mix((sums[longer + n] - sums[longer]) * _inverse[longer] + np.uint64(n << 32)))
