@@ -288,11 +288,36 @@ def test_embeddings(spark, monkeypatch):
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(2)
-    u = rng.normal(size=(600, 64))
+    u = rng.normal(size=(600, 63))
     v = u + rng.normal(size=u.shape) * 0.4
     u, v = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (u, v))
-    guess, least = embedding_dedup.estimate(u, v, 0.9)
+    mine, other = embedding_dedup.encoded(u, np.arange(600)), embedding_dedup.encoded(v, np.arange(600, 1200))
+    guess, least = embedding_dedup.estimate(mine, other, 63, 0.9)
     true = (u * v).sum(axis=1)
-    mine = np.diagonal(guess)
-    assert abs((mine - true).mean()) < 0.01
-    assert (mine >= least)[true >= 0.9].all()
+    ours, bound = np.diagonal(guess), np.diagonal(least)
+    assert abs((ours - true).mean()) < 0.01
+    assert (ours >= bound)[true >= 0.9].all()
+    # Far pairs are left out by the codes alone.
+    assert (guess >= least).mean() < 0.05
+    # Again and again the same codes, whatever the batch.
+    assert embedding_dedup.encoded(u[5:9], np.arange(5, 9)).equals(mine.iloc[5:9].reset_index(drop=True))
+
+
+def test_tiny_vectors_are_vectors(spark):
+    """Squares of the components underflow; the vectors are not zero."""
+    rows = [(1, [1e-170, 2e-170]), (2, [1e-170, 2e-170]), (3, [1.0, 2.0]), (4, [0.0, 0.0]), (5, [0.0, 5e-324])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_links_of_the_table(spark, sf_dir):
+    """Recall by link on the embeddings table, for the vectors whose id is divisible by 20."""
+    table = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    x = np.array([v for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = dict(zip((i for i, _ in rows), ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist(), strict=True))
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(table).collect()}
+    asked = [i for i, _ in rows if i % 20 == 0]
+    assert all(got[i] <= want[i] for i in want)
+    assert sum(got[i] for i in asked) >= 0.999 * sum(want[i] for i in asked)
