@@ -1,9 +1,10 @@
 """The feature extractors: each takes canonical events and adds its columns.
 
-Aggregates that come back to every row of their group are grouped and joined where a distinct
-count or a few hot values are involved, and are windows otherwise, so that one shuffle by user
-and one by session serve most of them. `base` is the event table that such counts are taken
-from; a chain of extractors passes the narrow one, so that no count repeats the chain's work.
+Aggregates that come back to every row of their group are grouped and joined, never windows: a
+busy user is combined before the shuffle. USER and SESSION list them, so that a chain of
+extractors groups once by each and joins once; an extractor alone groups for what is missing.
+`base` is the event table that such counts are taken from; a chain passes the narrow one, so
+that no count repeats the chain's work.
 """
 
 from __future__ import annotations
@@ -28,6 +29,46 @@ def fill_sentinels(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return df.withColumns({c: filled(c).cast("string") for c in columns or SENTINELS if c in df.columns})
 
 
+def _privileged_duration() -> Column:
+    return F.when(F.col("is_privileged_session"), F.col("session_duration_seconds"))
+
+
+def _count(condition: Column) -> Column:
+    return F.sum(condition.cast("long"))
+
+
+def _in_order() -> Column:
+    return F.struct("user_id", "timestamp", "row_id")
+
+
+USER = {
+    "success_count": lambda: _count(F.col("status") == "success"), "failure_count": lambda: _count(F.col("status") == "failure"),
+    "hour_mean": lambda: F.avg(F.hour("timestamp")), "hour_std": lambda: F.coalesce(F.stddev_samp(F.hour("timestamp")), F.lit(0.0)),
+    "priv_duration_min": lambda: F.coalesce(F.min(_privileged_duration()), F.lit(0.0)), "priv_duration_max": lambda: F.coalesce(F.max(_privileged_duration()), F.lit(0.0)),
+    "priv_duration_mean": lambda: F.coalesce(F.avg(_privileged_duration()), F.lit(0.0)), "priv_duration_std": lambda: F.coalesce(F.stddev_samp(_privileged_duration()), F.lit(0.0)),
+    "policy_violation_count": lambda: _count(F.col("policy_violation")), "total_actions_count": lambda: F.count(F.lit(1)),
+    "resource_diversity": lambda: F.countDistinct("resource") / F.count(F.lit(1)),
+}
+SESSION = {
+    "ip_changes_in_session": lambda: F.countDistinct("ip_address"), "region_changes_in_session": lambda: F.countDistinct("region"),
+    "user_agent_changes_in_session": lambda: F.countDistinct("user_agent"), "distinct_actions_per_session": lambda: F.countDistinct("action"),
+    "actions_per_session": lambda: F.count(F.lit(1)), "session_start_hour": lambda: F.min_by(F.hour("timestamp"), _in_order()), "session_end_hour": lambda: F.max_by(F.hour("timestamp"), _in_order()),
+}
+#: What rows without a session get: no counts, but the hours of all such rows.
+NO_SESSION = tuple(c for c in SESSION if not c.endswith("_hour"))
+
+
+def with_stats(df: DataFrame, key: str, names: Sequence[str], base: DataFrame | None = None) -> DataFrame:
+    """df with the USER or SESSION aggregates that it doesn't have yet: one group-by and one join."""
+    known = USER if key == "user_id" else SESSION
+    missing = [n for n in names if n not in df.columns]
+    if not missing:
+        return df
+    stats = (df if base is None else base).groupBy(F.col(key).alias("__key")).agg(*[known[n]().alias(n) for n in missing])
+    out = df.join(stats, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    return out.withColumns({n: F.when(F.col(key).isNull(), 0).otherwise(F.col(n)) for n in missing if n in NO_SESSION})
+
+
 def time_features(df: DataFrame) -> DataFrame:
     ts = F.col("timestamp")
     sin, cos = scalars.cyclic(F.hour(ts))
@@ -66,7 +107,7 @@ def ip_features(df: DataFrame, v6: bool = True, base: DataFrame | None = None) -
     df = df.withColumn("is_private_ip", network.is_private_ip(F.col("ip_address"), v6))
     df = value_frequency(df, "ip_frequency", "ip_address", base)
     df = bucket_top(df, "top_ip", "ip_address", 20, "other_ip", base)
-    return distinct_per(df, "session_id", {"ip_changes_in_session": "ip_address"}, base)
+    return with_stats(df, "session_id", ["ip_changes_in_session"], base)
 
 
 def count_pivot(df: DataFrame, key: str, column: str, values: Sequence[str], name: str = "{}") -> DataFrame:
@@ -83,9 +124,8 @@ def vocabulary(df: DataFrame, column: str, cap: int = 100) -> list[str]:
     return sorted(r["value"] for r in top_values(df, column, cap).collect())
 
 
-def status_features(df: DataFrame) -> DataFrame:
-    user = Window.partitionBy("user_id")
-    df = df.withColumns({s + "_count": F.sum((F.col("status") == s).cast("long")).over(user) for s in ("success", "failure")})
+def status_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    df = with_stats(df, "user_id", ["success_count", "failure_count"], base)
     return df.withColumn("success_ratio", scalars.ratio(F.col("success_count"), F.col("success_count") + F.col("failure_count"), 1.0))
 
 
@@ -97,22 +137,21 @@ def rate_features(df: DataFrame, minute: float = 60, hour: float = 3600) -> Data
 def session_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     gap = "time_between_actions_in_session"
     valid = F.col("session_id").isNotNull()
-    df = df.withColumn("actions_per_session", F.when(valid, F.count(F.lit(1)).over(Window.partitionBy("session_id"))).otherwise(0))
-    df = distinct_per(df, "session_id", {"distinct_actions_per_session": "action"}, base)
+    df = with_stats(df, "session_id", ["actions_per_session", "distinct_actions_per_session"], base)
     df = df.withColumn(gap, F.when(valid, windows.gap_seconds("session_id")).otherwise(0.0))
     return df.withColumn("average_" + gap, F.avg(gap).over(windows.last_rows("session_id", ROWS)))
 
 
 def region_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     df = bucket_top(value_frequency(df, "region_frequency", "region", base), "top_region", "region", 5, "other_region", base)
-    return distinct_per(df, "session_id", {"region_changes_in_session": "region"}, base)
+    return with_stats(df, "session_id", ["region_changes_in_session"], base)
 
 
 def agent_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     df = value_frequency(df, "user_agent_frequency", "user_agent", base)
     df = bucket_top(df, "top_user_agent", "user_agent", 5, "other_user_agent", base)
     df = df.withColumns({"os": scalars.operating_system(F.col("user_agent")), "browser": scalars.browser(F.col("user_agent"))})
-    return distinct_per(df, "session_id", {"user_agent_changes_in_session": "user_agent"}, base)
+    return with_stats(df, "session_id", ["user_agent_changes_in_session"], base)
 
 
 def action_entropy(df: DataFrame) -> DataFrame:
@@ -151,18 +190,15 @@ def velocity_features(df: DataFrame, sigmas: float = BURST_SIGMAS, rows: int = R
 
 
 def advanced_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    return velocity_features(df).join(resource_diversity(df if base is None else base), "user_id", "left")
+    return with_stats(velocity_features(df), "user_id", ["resource_diversity"], base)
 
 
-def temporal_features(df: DataFrame) -> DataFrame:
+def temporal_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     ts, hour = F.col("timestamp"), F.hour("timestamp")
-    user, session = Window.partitionBy("user_id"), Window.partitionBy("session_id")
-    order = F.struct("user_id", "timestamp", "row_id")
+    df = with_stats(df, "user_id", ["hour_mean", "hour_std"], base)
+    df = with_stats(df, "session_id", ["session_start_hour", "session_end_hour"], base)
     df = df.withColumns({n: scalars.day_part(ts, lo, lo + 6) for n, lo in (("is_early_morning", 0), ("is_morning", 6), ("is_afternoon", 12), ("is_evening", 18))})
-    df = df.withColumns({
-        "minute": F.minute(ts), "hour_mean": F.avg(hour).over(user), "hour_std": F.coalesce(F.stddev_samp(hour).over(user), F.lit(0.0)),
-        "session_start_hour": F.min_by(hour, order).over(session), "session_end_hour": F.max_by(hour, order).over(session),
-    })
+    df = df.withColumn("minute", F.minute(ts))
     df = df.withColumn("hours_from_mean", F.coalesce(F.abs(hour - F.col("hour_mean")), F.lit(0.0)))
     span = F.coalesce(F.col("session_end_hour") - F.col("session_start_hour"), F.lit(0))
     return df.withColumn("session_hour_span", F.when(F.col("session_id").isNotNull(), span).otherwise(0))
@@ -180,15 +216,11 @@ def privileged_defaults(df: DataFrame) -> DataFrame:
 
 
 def privileged_features(df: DataFrame, sigmas: float = 3.0, base: DataFrame | None = None) -> DataFrame:
-    user, priv = Window.partitionBy("user_id"), F.col("is_privileged_session")
-    d = F.when(priv, F.col("session_duration_seconds"))
-    stats = {"min": F.min(d), "max": F.max(d), "mean": F.avg(d), "std": F.stddev_samp(d)}
-    df = df.withColumns({f"priv_duration_{n}": F.coalesce(f.over(user), F.lit(0.0)) for n, f in stats.items()})
+    priv = F.col("is_privileged_session")
+    df = with_stats(df, "user_id", ["priv_duration_min", "priv_duration_max", "priv_duration_mean", "priv_duration_std", "policy_violation_count", "total_actions_count"], base)
     mean, std, length = F.col("priv_duration_mean"), F.col("priv_duration_std"), F.col("session_duration_seconds")
-    total = F.count(F.lit(1)).over(user)
     df = df.withColumns({
         "is_long_session": scalars.flag(priv & (length > mean + sigmas * std)), "is_short_session": scalars.flag(priv & (length < mean - sigmas * std)),
-        "policy_violation_count": F.sum(F.col("policy_violation").cast("long")).over(user), "total_actions_count": total,
         "is_privileged": priv.cast("int"),
         "missing_reason": scalars.flag(priv & F.col("reason_for_access").isNull()), "missing_ticket": scalars.flag(priv & F.col("ticket_id").isNull()),
     })

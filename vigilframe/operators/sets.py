@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilframe.functions.scalars import first_truthy, steady_id
 from vigilframe.schema import EVENT, REQUIRED, TEXT_COLUMNS, UNKNOWN
+from vigilframe.session import materialize
 
 
 def standardize(df: DataFrame) -> DataFrame:
@@ -53,3 +56,16 @@ def union(*frames: DataFrame) -> DataFrame:
 def unpermitted(df: DataFrame, permitted: DataFrame) -> DataFrame:
     """Rows whose (role, action) is not among the permitted ones."""
     return df.join(permitted.select("role", "action").distinct(), ["role", "action"], "left_anti")
+
+
+def placed(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """df with its place, from 1, in the global order: a range sort, a count by partition and a running number.
+
+    The sorted table is written, so that all rows keep the partition they were counted in.
+    """
+    part, at = F.spark_partition_id(), Window.partitionBy("__part").orderBy(*order)
+    rows = materialize(df.repartitionByRange(*order).withColumn("__part", part).withColumn("__at", F.row_number().over(at)), "placed")
+    sizes = rows.groupBy(F.col("__part").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    # One row a partition.
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(F.broadcast(sizes), F.col("__part") == F.col("__of")).withColumn(out, F.col("__before") + F.col("__at")).drop("__part", "__at", "__of", "__n", "__before")

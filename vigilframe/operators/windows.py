@@ -36,16 +36,25 @@ def trailing_count(df: DataFrame, out: str, key: str, seconds: float, ts: str =
 def trailing_distinct(df: DataFrame, out: dict[str, str], key: str, seconds: float, ts: str = "timestamp", row: str = "row_id") -> DataFrame:
     """Distinct values in the trailing window for each {new column: column}; 0 without a time.
 
-    What a row keeps is bounded by the rows of one key in one window.
+    A value is open from a sighting until the window's length after it. Where it wasn't open yet
+    it enters, where no later sighting keeps it open it leaves, and a row's count is the running
+    sum of both: no row gathers the rows of its window.
     """
     df = with_micros(df, ts)
-    frame = _trailing(key, seconds)
+    at, width = F.col(MICROS), round(seconds * 1e6)
+    seen = {name: at.isNotNull() & F.col(column).isNotNull() for name, column in out.items()}
     for name, column in out.items():
-        seen = F.collect_list(F.struct(F.col(MICROS).alias("t"), F.col(row).alias("r"), F.col(column).alias("v"))).over(frame)
-        upto = F.filter(seen, lambda x: (x["t"] < F.col(MICROS)) | (x["r"] <= F.col(row)))
-        values = F.array_distinct(F.filter(F.transform(upto, lambda x: x["v"]), lambda v: v.isNotNull()))
-        df = df.withColumn(name, F.when(F.col(MICROS).isNull(), 0).otherwise(F.size(values)).cast("long"))
-    return df.drop(MICROS)
+        same = Window.partitionBy(key, column).orderBy(MICROS, row)
+        before, after = F.lag(MICROS).over(same), F.lead(MICROS).over(same)
+        df = df.withColumns({f"__in_{name}": (seen[name] & (before.isNull() | (before <= at - width))).cast("long"), f"__out_{name}": seen[name] & (after.isNull() | (after >= at + width))})
+    step = lambda when, last, change: F.struct(when.alias("t"), F.lit(last).alias("last"), *[c.cast("long").alias(n) for n, c in change.items()])
+    enters = step(at, True, {n: F.col(f"__in_{n}") for n in out})
+    leaves = [F.when(F.col(f"__out_{n}"), step(at + width, False, {m: F.lit(-1 if m == n else 0) for m in out})) for n in out]
+    df = df.withColumn("__step", F.explode(F.filter(F.array(enters, *leaves), lambda x: x.isNotNull())))
+    # What leaves at a row's time is gone before the row; rows of one time follow each other.
+    upto = Window.partitionBy(key).orderBy("__step.t", "__step.last", F.when(F.col("__step.last"), F.col(row)))
+    df = df.withColumns({n: F.when(at.isNull(), F.lit(0).cast("long")).otherwise(F.sum(f"__step.{n}").over(upto)) for n in out})
+    return df.where("__step.last").drop("__step", MICROS, *[f"__{side}_{n}" for side in ("in", "out") for n in out])
 
 
 def gap_seconds(key: str, ts: str = "timestamp", row: str = "row_id") -> Column:

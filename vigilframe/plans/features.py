@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from vigilframe.functions import network, scalars
 from vigilframe.operators import features as X
 from vigilframe.operators import windows
+from vigilframe.plans.pipeline import Encoder, extract
 from vigilframe.plans.twins import WS, WU, over_events
+from vigilframe.schema import FIXED_FEATURES
 from vigilframe.sources.events import read_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +64,16 @@ query(
     lambda e: rounded(e.withColumn("is_private_ip", network.is_private_ip(F.col("ip_address"), v6=False)), "is_private_ip"),
     over_events("SELECT row_id, (ip_address LIKE '192.168.%' OR ip_address LIKE '203.0.113.%')::BIGINT AS is_private_ip FROM ev"),
 )
+NETS = ("fd00::{}", "2001:db8::{}", "2a00:1450:4001::{}", "fe80::1:{}", "::ffff:8.8.{}.1", "2001:4:112::{}", "not:an:address:{}")
+query(
+    "f8_private_ip_v6",
+    lambda e: rounded(
+        e.withColumn("ip", F.element_at(F.array(*[F.format_string(n.replace("{}", "%d"), F.pmod("row_id", F.lit(200))) for n in NETS]), (F.pmod("row_id", F.lit(len(NETS))) + 1).cast("int")))
+        .withColumn("is_private_ip", network.is_private_ip(F.col("ip"))),
+        "is_private_ip",
+    ),
+    over_events(f"SELECT row_id, (row_id % {len(NETS)} IN (0, 1, 3, 4))::BIGINT AS is_private_ip FROM ev"),
+)
 query(
     "f9_f10_agent_parts",
     lambda e: e.select("row_id", scalars.operating_system(F.col("user_agent")).alias("os"), scalars.browser(F.col("user_agent")).alias("browser")),
@@ -113,7 +125,7 @@ query(
     lambda e: rounded(X.time_features(e), "time_since_last_access"),
     over_events(f"SELECT row_id, round(coalesce(date_diff('microsecond', lag(\"timestamp\") OVER ({WU}), \"timestamp\") / 1e6, 0), 6) AS time_since_last_access FROM ev"),
 )
-for label, seconds in (("1h", 3600.0), ("1d", DAY)):
+for label, seconds in (("1min", 60.0), ("1h", 3600.0), ("1d", DAY)):
     frame = f'PARTITION BY user_id ORDER BY "timestamp" RANGE BETWEEN INTERVAL \'{seconds - 0.000001:.6f} seconds\' PRECEDING AND CURRENT ROW'
     query(
         f"w2_actions_{label}",
@@ -268,3 +280,32 @@ for name, column, n, other in (("t3_top_ip", "ip_address", 20, "other_ip"), ("t3
         lambda e, c=column, n=n, o=other: X.bucket_top(e, "top", c, n, o).select("row_id", "top"),
         over_events(f"SELECT row_id, CASE WHEN {column} IN (SELECT v FROM top) THEN {column} ELSE '{other}' END AS top FROM ev", TOP.format(c=column, t="ev", n=n)),
     )
+
+
+#: Where each fixed feature's SQL is: a query above, and the names of its columns there.
+FRAME = {
+    "f1_f4_time_parts": "hour day_of_week is_weekend is_working_hour", "w1_time_since_last_access": "time_since_last_access", "f5_cyclic_hour": "hour_sin hour_cos", "f6_session_duration": "session_duration",
+    "f8_private_ip": "is_private_ip", "a1_value_frequency": "ip_frequency region_frequency user_agent_frequency", "a8_a10_changes_in_session": "ips:ip_changes_in_session regions:region_changes_in_session agents:user_agent_changes_in_session",
+    "a7_status_ratio": "success_count failure_count success_ratio", "w2_actions_1min": "actions:actions_per_minute", "w3_w4_distinct_1h": "unique_actions:unique_actions_per_hour unique_resources:unique_resources_per_hour",
+    "a11_a12_session_actions": "actions_per_session distinct_actions_per_session", "w5_w6_session_gaps": "time_between_actions_in_session average_time_between_actions_in_session",
+    "a13_action_entropy": "action_entropy", "a14_transitions": "common_transition_prob unique_transitions", "w7_w8_velocity": "action_velocity", "w9_burst_default": "is_burst", "a15_resource_diversity": "resource_diversity",
+    "f7_day_parts": "is_early_morning is_morning is_afternoon is_evening", "a16_hours_from_mean": "hours_from_mean", "w10_session_hours": "session_hour_span",
+    "a17_privileged_durations": "priv_duration_min priv_duration_max priv_duration_mean priv_duration_std", "a19_policy_violations": "policy_violation_count policy_violation_ratio", "f22_missing_flags": "missing_reason missing_ticket",
+}
+
+
+def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 48 fixed features of every event, from the whole chain and the encoder."""
+    x = extract(read_events(spark, sf_dir), v6=False)
+    return Encoder().transform(x).select("row_id", *[(F.round(c, 6) + 0.0).alias(c) for c in FIXED_FEATURES])
+
+
+def _frame_sql() -> str:
+    names = {n.split(":")[-1]: f"{source}.{n.split(':')[0]}" for source, listed in FRAME.items() for n in listed.split()}
+    names |= {"is_long_session": "(p.d > p.mu + 3 * p.sd)", "is_short_session": "(p.d < p.mu - 3 * p.sd)", "is_privileged": "p.is_privileged_session"}
+    by_user = ("a13_action_entropy", "a14_transitions", "a15_resource_diversity")
+    joins = " ".join(f"JOIN ({ORACLES[source]}) AS {source} ON {source}.{key} = p.{key}" for source in FRAME for key in ["user_id" if source in by_user else "row_id"])
+    return f"SELECT p.row_id, {', '.join(f'coalesce({names[c]}::DOUBLE, 0) AS {c}' for c in FIXED_FEATURES)} FROM ({over_events('SELECT * FROM st', PRIV, STAT)}) AS p {joins}"
+
+
+QUERIES["feature_frame"], ORACLES["feature_frame"] = feature_frame, _frame_sql()

@@ -9,30 +9,32 @@ from pyspark.sql import functions as F
 
 from vigilframe.models.ensemble import HybridDetector, Parameters
 from vigilframe.models.isolation import IsolationForest, threshold
-from vigilframe.operators import features as X
 from vigilframe.operators import sets
 from vigilframe.operators.rules import rule_hits, session_metrics
 from vigilframe.operators.scaling import Scaler
-from vigilframe.plans.reports import LIMITS
-from vigilframe.session import shared_dir
+from vigilframe.plans.pipeline import Encoder, extract
+from vigilframe.plans.reports import LIMITS, METRICS, SQL_RULES
+from vigilframe.plans.twins import over_events
+from vigilframe.session import materialize, shared_dir
 from vigilframe.sources import read
 from vigilframe.sources.events import read_events
 from vigilframe.sources.synthetic import Generator
 from vigilframe.streaming.micro_batch import score_batches, stream_raw
 
-#: A handful of features keeps the registered model queries short; the detector takes any list.
-COLUMNS = ["hour", "day_of_week", "time_since_last_access", "success_ratio", "actions_per_session", "session_duration_seconds"]
-SMALL = Parameters(contamination=0.1, n_trees=50, forest_trees=20, forest_depth=8, sequence_length=4, components=4)
+#: The detector's own defaults, at the share of anomalies that the registered queries ask for.
+DEFAULTS = Parameters(contamination=0.1)
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = X.session_features(X.status_features(X.time_features(read_events(spark, sf_dir))))
-    return e.select("row_id", "user_id", "timestamp", "policy_violation", *COLUMNS)
+def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The whole feature frame, fixed and encoded columns, and the names of the features."""
+    extracted = materialize(extract(read_events(spark, sf_dir), v6=False), "features")
+    encoder = Encoder.fit(extracted)
+    return materialize(encoder.transform(extracted), "encoded"), encoder.columns
 
 
 def m2_isolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir)
-    return IsolationForest.fit(f, COLUMNS, n_trees=50).score(f).select("row_id", "anomaly_score")
+    f, columns = _features(spark, sf_dir)
+    return IsolationForest.fit(f, columns).score(f).select("row_id", "anomaly_score")
 
 
 def m3_batch_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,15 +43,26 @@ def m3_batch_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m8_hybrid_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir)
-    return HybridDetector(SMALL).fit(f, COLUMNS).predict(f).select("row_id", "anomaly_score", "is_anomaly_predicted")
+    f, columns = _features(spark, sf_dir)
+    return HybridDetector(DEFAULTS).fit(f, columns).predict(f).select("row_id", "anomaly_score", "is_anomaly_predicted")
 
 
 def m9_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = HybridDetector(SMALL).fit(_features(spark, sf_dir), COLUMNS).explain()
+    f, columns = _features(spark, sf_dir)
+    found = HybridDetector(DEFAULTS).fit(f, columns).explain()
     return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(found.items(), 1)], "rank int, feature string, importance double")
 
 
+def t6_first_anomalies_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three predicted anomalies, each with the five features of most importance and their values."""
+    f, columns = _features(spark, sf_dir)
+    model = HybridDetector(DEFAULTS).fit(f, columns)
+    top = list(model.explain().items())[:5]
+    first = model.predict(f).where("is_anomaly_predicted = 1").orderBy("row_id").limit(3)
+    listed = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(c).alias("feature"), F.lit(w).alias("importance"), F.col(f"`{c}`").alias("value")) for i, (c, w) in enumerate(top, 1)])
+    return first.select("row_id", "user_id", F.inline(listed))
+
+
 def f24_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_hits(session_metrics(read_events(spark, sf_dir)), LIMITS).select("session_id", F.array_join("reasons", "; ").alias("reasons"))
 
@@ -80,7 +93,18 @@ QUERIES = {
     "m3_batch_threshold": m3_batch_threshold,
     "m8_hybrid_votes": m8_hybrid_votes,
     "m9_importances": m9_importances,
+    "t6_first_anomalies_features": t6_first_anomalies_features,
     "x3_scaled_micro_batches": x3_scaled_micro_batches,
 }
-#: The stream must equal the batch once it is through.
-ORACLES = {"x3_scaled_micro_batches": "SELECT event_id AS row_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) + 0 AS scaled FROM events"}
+SQL_REASONS = {
+    "hours": "'outside working hours: ' || strftime(start_time, '%H:%M')", "duration": "format('long session: {{:.1f}} minutes', duration)", "actions": "'many actions: ' || n_actions",
+    "ips": "'many addresses: ' || n_unique_ips", "failures": "format('failure rate: {{:.1f}}%', failure_rate * 100)",
+}
+ORACLES = {
+    "f24_reasons": over_events(
+        "SELECT session_id, reasons FROM (SELECT session_id, concat_ws('; ', " + ", ".join(f"CASE WHEN {c.format(t=LIMITS)} THEN {SQL_REASONS[code].replace('{{', '{').replace('}}', '}')} END" for code, c in SQL_RULES.items()) + ") AS reasons FROM m) WHERE reasons <> ''",
+        METRICS,
+    ),
+    # The stream must equal the batch once it is through.
+    "x3_scaled_micro_batches": "SELECT event_id AS row_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) + 0 AS scaled FROM events",
+}

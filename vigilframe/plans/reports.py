@@ -159,7 +159,7 @@ query("a33_label_counts", lambda e: e.groupBy("role").agg(F.sum(_odd().cast("lon
 
 # Sorts and sets
 
-query("t2_global_sort", lambda e: e.orderBy("timestamp", "row_id").limit(100).select("row_id", "user_id"), over_events("SELECT row_id, user_id FROM ev ORDER BY \"timestamp\", row_id LIMIT 100"))
+query("t2_global_sort", lambda e: sets.placed(e, ["timestamp", "row_id"], "place").select("place", "row_id", "user_id"), over_events("SELECT row_number() OVER (ORDER BY \"timestamp\", row_id) AS place, row_id, user_id FROM ev"))
 for n in (10, 5):
     query(f"t{4 if n == 10 else 5}_top_{n}_users", lambda e, n=n: R.top_users(e.where(_odd()), n), over_events(f"SELECT user_id, count(*) AS n FROM ev WHERE policy_violation GROUP BY 1 ORDER BY n DESC, user_id LIMIT {n}"))
 query("t6_first_anomalies", lambda e: e.where(_odd()).orderBy("row_id").limit(3).select("row_id", "user_id", "action"), over_events("SELECT row_id, user_id, action FROM ev WHERE policy_violation ORDER BY row_id LIMIT 3"))
@@ -182,6 +182,8 @@ query("v1_scatter", lambda e: rounded(e.select("row_id", F.unix_seconds(F.col("t
 query("v2_duration_by_actions", lambda e: rounded(session_metrics(e).join(_flagged(e).select("session_id", F.lit(True).alias("hit")), "session_id", "left").withColumn("anomalous", F.coalesce("hit", F.lit(False))), "duration", "n_actions", "anomalous", key="session_id"),
       over_events("SELECT session_id, round(duration, 6) AS duration, n_actions, session_id IN (SELECT session_id FROM hits) AS anomalous FROM m", METRICS, HITS))
 query("v4_distributions", lambda e: session_metrics(e).groupBy("n_unique_ips", F.floor(F.col("failure_rate") * 10).alias("failure_bin")).agg(F.count(F.lit(1)).alias("sessions")), over_events("SELECT n_unique_ips, floor(failure_rate * 10)::BIGINT AS failure_bin, count(*) AS sessions FROM m GROUP BY ALL", METRICS))
+query("v4_duration_distribution", lambda e: R.histogram(session_metrics(e), "duration", 20).select(F.col("bin").cast("long").alias("bin"), "n"),
+      over_events("SELECT coalesce(least(floor((v - lo) / nullif(hi - lo, 0) * 20) + 1, 20), 1)::BIGINT AS bin, count(*) AS n FROM (SELECT duration AS v, min(duration) OVER () AS lo, max(duration) OVER () AS hi FROM m) WHERE v IS NOT NULL GROUP BY 1", METRICS))
 query("v5_hourly_activity", lambda e: rounded(R.hours_dense(e, "all_actions").join(R.hours_dense(e.where(_odd()), "anomalous"), "hour"), "all_actions", "anomalous", key="hour"), over_events("SELECT h.hour::INT AS hour, count(row_id) AS all_actions, count(row_id) FILTER (policy_violation) AS anomalous FROM range(24) h(hour) LEFT JOIN ev ON hour(\"timestamp\") = h.hour GROUP BY 1"))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app_name: str = "vigilframe", master: str | None = None, **settings: str) -> SparkSession:
@@ -29,3 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='vigilframe-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/vigilframe/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what materialize wrote, once nothing reads it any more. What a result still reads stays."""
+    for df in tables:
+        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(hadoop).delete(path, True)
