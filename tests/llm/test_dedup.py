@@ -216,7 +216,7 @@ def test_near_duplicates_keep_one_row(make_docs, odd):
 def test_pipeline_finds_all_pairs_at_08(spark, make_docs, odd, monkeypatch, part):
     """Chains and groups of edited copies against all pairs of shingle sets."""
     monkeypatch.setattr(shingle_dedup, "PART", part)  # buckets are split
-    monkeypatch.setattr(shingle_dedup, "ROUNDS", 1)
+    monkeypatch.setattr(shingle_dedup, "LARGE", 3 if part == 7 else 20_000)  # further rounds
     rng = random.Random(8)
     rows = list(odd)
     for base in range(12):

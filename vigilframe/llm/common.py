@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilframe.session import discard, materialize, shared_dir
+
+__all__ = ["ascii_lower", "discard", "held_out", "materialize", "row_hash", "shared_dir", "shuffle_partitions", "table", "uniform", "word_count"]
+
 #: A word is a run of anything but these ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Java spells the same class without the hex range.
@@ -29,38 +30,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(JAVA_WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a local master may go without that setting; it then gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='vigilframe-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vigilframe/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes what materialize wrote, once nothing reads it any more. What a result still reads stays."""
-    for df in tables:
-        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(hadoop).delete(path, True)
-
-
 def row_hash(*columns: Column | str) -> Column:
     """Tells rows of one id apart; rows are matched by their id and this, never by this alone."""
     return F.xxhash64(*columns)
