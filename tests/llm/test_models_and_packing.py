@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigilframe.llm import common, lm_scoring, mixing, packing, quality, textnum, toxicity
+from vigilframe.llm import common, lm_scoring, mixing, packing, quality, queries, textnum, toxicity
 from vigilframe.llm.token_rollup import TokenRollup, counted, deletes, inserts, revisions
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -310,6 +310,65 @@ def test_quality(spark, make_docs, odd):
     assert {r.score for r in quality.score(make_docs(odd), none).collect()} == {0.5}
 
 
+def test_risk_gradient_by_finite_differences():
+    rng = np.random.default_rng(5)
+    fp, fu = rng.normal(size=7), rng.normal(size=11) + 1
+    assert toxicity.negative_risk(fp, fu, 0.3) > 0
+    f, g = np.concatenate([fp, fu]), toxicity.risk_gradient(fp, fu, 0.3)
+    for k in range(len(f)):
+        step = np.zeros(len(f))
+        step[k] = 1e-6
+        up, down = (toxicity.risk((f + s)[:7], (f + s)[7:], 0.3) for s in (step, -step))
+        assert g[k] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+    # Below zero the step goes back on the negative part.
+    fu = fu - 9
+    assert toxicity.negative_risk(fp, fu, 0.3) < 0
+    f, g = np.concatenate([fp, fu]), toxicity.risk_gradient(fp, fu, 0.3)
+    for k in range(len(f)):
+        step = np.zeros(len(f))
+        step[k] = 1e-6
+        up, down = (toxicity.negative_risk((f + s)[:7], (f + s)[7:], 0.3) for s in (step, -step))
+        assert g[k] == pytest.approx(-(up - down) / 2e-6, abs=1e-6)
+
+
+def test_gathered_rows():
+    flat, ends = np.arange(10), np.array([3, 3, 7, 10])
+    starts = np.concatenate([[0], ends[:-1]])
+    words, owner = toxicity.gathered(flat, starts, ends, np.array([2, 1, 0, 2]))
+    assert words.tolist() == [3, 4, 5, 6, 0, 1, 2, 3, 4, 5, 6] and owner.tolist() == [0, 0, 0, 0, 2, 2, 2, 3, 3, 3, 3]
+
+
+def test_word_vectors_against_plain_sums(spark, make_docs, odd):
+    rows = [r for r in odd if len(r[1] or "") < 1000] + [(70, "the cat The dog the cat ,  sat")]
+    vectors, counts = quality.word_vectors(make_docs(rows).repartition(3))
+    want, seen = np.zeros_like(vectors), np.zeros_like(counts)
+    for _, t in rows:
+        words = WORD.findall(t or "")
+        hashes = [h for _, _, h in textnum.word_hashes([" ".join(words).encode()], lower=False)]
+        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        bucket, entries = quality._bucket(h), list(quality._entries(h))
+        for i in range(len(h)):
+            seen[bucket[i]] += 1
+            for j in range(max(0, i - quality.REACH), min(len(h), i + quality.REACH + 1)):
+                for dim, sign in entries if j != i else ():
+                    want[bucket[i], dim[j]] += sign[j]
+    assert (counts == seen).all() and np.allclose(vectors, want)
+
+
+def test_network_gradient_and_temperature():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 5))
+    p = 1 / (1 + np.exp(-2 * x[:, 0]))
+    y = (rng.random(400) < p).astype(float)
+    net = quality.train_network(x, y)
+    aside = np.arange(400) % 5 == 4
+    loss = lambda t: np.mean(np.logaddexp(0, np.where(y[aside] > 0.5, -1, 1) * net.logits(x[aside]) / t))
+    assert all(loss(net.temperature) <= loss(t) + 1e-12 for t in np.geomspace(0.5, 8, 41))
+    # Calibrated: mean probability and mean label agree within noise.
+    assert abs(net.probability(x).mean() - y.mean()) < 0.08
+    assert np.corrcoef(net.probability(x), p)[0, 1] > 0.9
+
+
 def test_toxicity(spark, make_docs, odd):
     data = planted(1200, ["vile", "nasty", "rotten", "foul"], 0.15, 2)
     docs = make_docs([(i, t) for i, (t, _) in enumerate(data)])
@@ -340,7 +399,45 @@ def test_rollup(spark, make_docs, tmp_path):
     r.commit("none", inserts(counted(docs.limit(0), count)))
     assert total() == {"x": (2, 11)}
     # An attempt that never got its commit record shows nothing.
-    inserts(counted(docs, count)).write.parquet(f"file://{tmp_path}/r/deltas/batch=lost")
+    inserts(counted(docs, count)).write.parquet(f"file://{tmp_path}/r/deltas/attempt=lost")
     assert total() == {"x": (2, 11)}
     with pytest.raises(ValueError):
-        r.commit("a/b", inserts(counted(docs, count)))
+        r.commit("", inserts(counted(docs, count)))
+    # Totals stay through folds, and ids that paths would change are ids.
+    assert r.fold() and total() == {"x": (2, 11)} and not r.fold()
+    for name in ("a/b", "a b", "a%20b", "=", "_x", "é" * 200):
+        assert r.commit(name, inserts(counted(docs.where("doc_id = 2"), count))) and not r.commit(name, inserts(counted(docs, count)))
+    assert total() == {"x": (8, 17)} and r.fold() and total() == {"x": (8, 17)}
+    # Repeated rows count each.
+    r.commit("twice", inserts(counted(docs.union(docs).where("doc_id = 1"), count)))
+    assert total() == {"x": (10, 23)}
+
+
+def test_rollup_of_two_writers(spark, make_docs, tmp_path, monkeypatch):
+    """Both find no record and write their deltas; the first record counts."""
+    docs, count = make_docs([(1, "a b c", "x")]), {("words", "1"): common.word_count(F.col("text"))}
+    one, two = (TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    create = one._create
+
+    def second_comes_first(name, content):
+        monkeypatch.setattr(one, "_create", create)
+        assert two.commit("b", deletes(counted(docs, count)))
+        return create(name, content)
+
+    monkeypatch.setattr(one, "_create", second_comes_first)
+    assert not one.commit("b", inserts(counted(docs, count)))
+    assert [(x.documents, x.tokens) for x in two.totals().collect()] == [(-1, -3)]
+    monkeypatch.setattr(one, "_create", lambda name, content: two.fold() and create(name, content))
+    assert not one.fold()
+    assert [(x.documents, x.tokens) for x in one.totals().collect()] == [(-1, -3)]
+
+
+def test_token_rollup_against_the_tokenizer(spark, sf_dir, documents, tokenizer):
+    want: Counter = Counter()
+    for r in documents.collect():
+        n = len(tokenizer[1].encode(r.text or "", add_special_tokens=False).ids)
+        for key, tokens in ((("byte_bpe", "50k"), n), (("words", "1"), len(WORD.findall(r.text or "")))):
+            want[r.source, r.lang, *key, "documents"] += 1
+            want[r.source, r.lang, *key, "tokens"] += tokens
+    got = {(r.source, r.lang, r.tokenizer, r.version, c): r[c] for r in queries.op1_token_rollup(spark, sf_dir).collect() for c in ("documents", "tokens")}
+    assert got == dict(want)

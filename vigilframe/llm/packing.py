@@ -103,7 +103,8 @@ class _Encoder:
         return [self.first[w] + b"".join(map(get, rest)) for w, rest in zip(heads, tails, strict=True)]
 
 
-def _encoder(path: str) -> _Encoder:
+def encoder(path: str) -> _Encoder:
+    """The encoder of a tokenizer file, loaded once in a worker."""
     if path not in _loaded:
         _loaded[path] = _Encoder(path)
     return _loaded[path]
@@ -116,14 +117,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int,
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(tokenizer_path), TaskContext.get().partitionId()
+        ids_of, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         end, width = np.array([end_id], "<u4").tobytes(), 4 * window
         next_place = np.zeros(window + 1, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, AT_ONCE):
                 some = batch.slice(i, AT_ONCE)
                 rows = []
-                for doc, ids in zip(some.column("id").to_pylist(), encoder.encode([t or "" for t in some.column("body").to_pylist()]), strict=True):
+                for doc, ids in zip(some.column("id").to_pylist(), ids_of.encode([t or "" for t in some.column("body").to_pylist()]), strict=True):
                     ids += end
                     for at in range(0, len(ids), width):
                         piece = ids[at : at + width]

@@ -15,30 +15,45 @@ from vigilframe.llm.line_dedup import line_dedup, passages_of
 from vigilframe.llm.mixing import mix_sources
 from vigilframe.llm.packing import pack_documents
 from vigilframe.llm.simhash import simhash_groups
-from vigilframe.llm.token_rollup import TokenRollup, counted, deletes, inserts, revisions
+from vigilframe.llm.token_rollup import TokenRollup, counted, deletes, inserts, revisions, token_count
 
 
-def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by source, language and tokenizer version, kept through four commits.
+def _rolled_up(spark: SparkSession, sf_dir: str, counters: dict) -> DataFrame:
+    """Totals after several commits and folds.
 
-    Documents come in with counts estimated from n_chars, are revised to exact counts, and those
-    without a word are deleted; the revision is committed twice, which changes nothing.
+    Documents come in with counts estimated from n_chars and are revised to exact counts; the
+    revision is committed twice, which changes nothing. Those without a word are deleted and,
+    after the totals were folded, inserted again.
     """
     docs = table(spark, sf_dir, "documents")
     guess = F.ceil(F.coalesce("n_chars", F.lit(0)) / 6).cast("long")
-    exact = F.struct(word_count(F.col("text")).alias("1"), F.coalesce(F.regexp_count("text", F.lit("[A-Za-z]+")), F.lit(0)).cast("long").alias("2"))
-    rows = materialize(docs.select("source", "lang", guess.alias("guess"), exact.alias("n")), "rollup-counts")
+    exact = F.struct(*[c.alias("_".join(v)) for v, c in counters.items()])
+    rows = materialize(docs.select("source", "lang", guess.alias("guess"), exact.alias("n"), (word_count(F.col("text")) == 0).alias("blank")), "rollup-counts")
+    exactly = {v: F.col("n")["_".join(v)] for v in counters}
     rollup = TokenRollup(spark, f"{shared_dir(spark)}/vigilframe/rollup-{uuid.uuid4().hex}")
-    versions = [("words", "1"), ("words", "2")]
-    rollup.commit("load", inserts(counted(rows, {v: F.col("guess") for v in versions})))
-    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("tokenizer"), F.lit(v).alias("version"), F.col("guess").alias("old_tokens"), F.col("n")[v].alias("new_tokens")) for t, v in versions]))
+    rollup.commit("load", inserts(counted(rows, {v: F.col("guess") for v in counters})))
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("tokenizer"), F.lit(v).alias("version"), F.col("guess").alias("old_tokens"), n.alias("new_tokens")) for (t, v), n in exactly.items()]))
     change = revisions(rows.select("source", "lang", pairs.alias("x")).select("source", "lang", "x.*"))
     rollup.commit("exact", change)
     rollup.commit("exact", change)
-    rollup.commit("empty", deletes(counted(rows.where(F.col("n")["1"] == 0), {v: F.col("n")[v[1]] for v in versions})))
+    blank = counted(rows.where("blank"), exactly)
+    rollup.commit("blank out", deletes(blank))
+    rollup.fold()
+    rollup.commit("blank in", inserts(blank))
     return rollup.totals()
 
 
+def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a public tokenizer, and words, by source, language and tokenizer version."""
+    return _rolled_up(spark, sf_dir, {("byte_bpe", "50k"): token_count(F.col("text"), tokenizer_path()), ("words", "1"): word_count(F.col("text"))})
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rollup over counts that SQL can take: words, and runs of letters."""
+    letters = F.coalesce(F.regexp_count("text", F.lit("[A-Za-z]+")), F.lit(0)).cast("long")
+    return _rolled_up(spark, sf_dir, {("words", "1"): word_count(F.col("text")), ("letters", "1"): letters})
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources take weights 3, 1, 2 in turn and share 150 % of all words, each at most twice its own."""
     return mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).drop("row_hash")
@@ -114,6 +129,7 @@ QUERIES = {
     "op8_pack_documents": op8_pack_documents,
     "op9_lm_scores": op9_lm_scores,
     "op10_simhash": op10_simhash,
+    "token_rollup_words": token_rollup_words,
 }
 
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,10 +137,10 @@ LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))"
 
 ORACLES = {
-    "op1_token_rollup": f"""
+    "token_rollup_words": f"""
         WITH d AS (SELECT source, lang, {WORDS} AS w1, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS w2 FROM documents),
-        v AS (SELECT source, lang, '1' AS version, w1 AS tokens FROM d WHERE w1 > 0 UNION ALL SELECT source, lang, '2', w2 FROM d WHERE w1 > 0)
-        SELECT source, lang, 'words' AS tokenizer, version, count(*) AS documents, sum(tokens)::BIGINT AS tokens
+        v AS (SELECT source, lang, 'words' AS tokenizer, w1 AS tokens FROM d UNION ALL SELECT source, lang, 'letters', w2 FROM d)
+        SELECT source, lang, tokenizer, '1' AS version, count(*) AS documents, sum(tokens)::BIGINT AS tokens
         FROM v GROUP BY ALL
     """,
     "op5_exact_dedup": f"""

@@ -1,14 +1,20 @@
 """Token counts by source, language and tokenizer version, maintained by signed deltas.
 
-Every batch of changes is reduced to signed totals per group and written under its id. A batch
-id that is already there is left alone, so a commit that is repeated after a failure changes
-nothing. Totals are sums over the committed batches.
+Every batch of changes is reduced to signed totals per group and written as an attempt of its
+own; a commit record, created once for each batch id, names the attempt that counts. So a commit
+that is repeated after a failure, or by a second writer, changes nothing. fold() adds what was
+committed since to the maintained totals: a new snapshot, which counts once a pointer names it.
+Totals are the last snapshot and the few deltas that came after it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+import json
+import uuid
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +23,20 @@ GROUP = ["source", "lang", "tokenizer", "version"]
 DELTA = "source string, lang string, tokenizer string, version string, documents long, tokens long"
 
 
+def token_count(text: Column, tokenizer_path: str) -> Column:
+    """Ids of the text by a tokenizer file, without special tokens; null and empty texts have none."""
+    from vigilframe.llm.packing import AT_ONCE, encoder
+
+    @F.pandas_udf("long")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = encoder(tokenizer_path)
+        for texts in batches:
+            some = [t or "" for t in texts]
+            yield pd.Series([len(x) // 4 for i in range(0, len(some), AT_ONCE) for x in ids.encode(some[i : i + AT_ONCE])], dtype="int64")
+
+    return counts(text)
+
+
 def counted(docs: DataFrame, counters: Mapping[tuple[str, str], Column], source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """(source, lang, tokenizer, version, tokens): a row per document and counter; null counts are 0."""
     each = F.array(*[
@@ -39,45 +59,93 @@ def revisions(rows: DataFrame) -> DataFrame:
     return rows.select(*GROUP, F.lit(0).cast("long").alias("documents"), (F.coalesce("new_tokens", F.lit(0)) - F.coalesce("old_tokens", F.lit(0))).cast("long").alias("tokens"))
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+
+
 class TokenRollup:
     """A rollup kept in a folder that all executors share.
 
-    Null sources and languages are groups of their own. Groups that come to zero documents and
-    zero tokens are not reported. An empty batch is recorded, an empty rollup has no rows.
+    Null sources and languages are groups of their own; null and empty texts count as documents
+    without tokens; very long texts are counted whole and repeated rows each. Groups that come to
+    zero documents and zero tokens are not reported. An empty batch is recorded, an empty rollup
+    has no rows. Any text but the empty one is a batch id.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
-        """Adds a batch once; false, and no change, if its id was committed before.
-
-        Totals are written first and count only once the commit record is there, so an attempt
-        that was cut off shows nothing and is overwritten by the next.
-        """
-        if not batch_id or "/" in batch_id or "=" in batch_id:
-            raise ValueError(f"not a batch id: {batch_id!r}")
-        if not self._read("commits", "at string").where(F.col("batch") == batch_id).isEmpty():
+        """Adds a batch once; false, and no change, if its id was committed before, here or by another writer."""
+        if not batch_id:
+            raise ValueError("a batch needs an id")
+        record = f"commits/b{hashlib.sha256(batch_id.encode()).hexdigest()}.json"
+        if not self._records("commits", "batch string, attempt string").where(F.col("batch") == batch_id).isEmpty():
             return False
-        summed = deltas.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
-        record = self.spark.range(1).select(F.current_timestamp().cast("string").alias("at"))
-        record.write.mode("ignore").parquet(f"{self.path}/commits/batch={batch_id}")
-        return True
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        schema = f"{schema}, batch string"
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:  # nothing written yet
-            return self.spark.createDataFrame([], schema)
-
-    def batches(self) -> DataFrame:
-        """The signed totals of each committed batch."""
-        commits = self._read("commits", "at string").select("batch").distinct()
-        return self._read("deltas", DELTA).join(commits, "batch", "left_semi")
+        attempt = uuid.uuid4().hex
+        _summed(deltas).write.parquet(f"{self.path}/deltas/attempt={attempt}")
+        return self._create(record, {"batch": batch_id, "attempt": attempt})
+
+    def fold(self) -> bool:
+        """Adds the batches committed since to the maintained totals; false if there are none or another writer was first."""
+        number, snapshot = self._snapshot()
+        new = self._unfolded(snapshot)
+        if new.isEmpty():
+            return False
+        name = uuid.uuid4().hex
+        # Written from one reading of the records each: what is summed is what is listed as folded.
+        new.write.parquet(f"{self.path}/folded/{name}-new")
+        new = self.spark.read.schema("attempt string").parquet(f"{self.path}/folded/{name}-new")
+        _summed(self._totals_of(snapshot).unionByName(self._deltas(new))).where("documents <> 0 or tokens <> 0").write.parquet(f"{self.path}/snapshots/{name}")
+        self._folded(snapshot).unionByName(new).write.parquet(f"{self.path}/folded/{name}")
+        return self._create(f"pointers/p{number + 1:012d}.json", {"number": number + 1, "snapshot": name})
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, version, documents, tokens)."""
-        summed = self.batches().groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return summed.where("documents <> 0 or tokens <> 0")
+        _, snapshot = self._snapshot()
+        return _summed(self._totals_of(snapshot).unionByName(self._deltas(self._unfolded(snapshot)))).where("documents <> 0 or tokens <> 0")
+
+    def _create(self, name: str, content: Mapping) -> bool:
+        """Makes a small file if there is none of that name; the first writer wins."""
+        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        system = path.getFileSystem(hadoop)
+        if system.exists(path):
+            return False
+        try:
+            out = system.create(path, False)
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        return True
+
+    def _records(self, folder: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).json(f"{self.path}/{folder}").where(f"{schema.split()[0]} is not null")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # nothing written yet
+
+    def _snapshot(self) -> tuple[int, str | None]:
+        last = self._records("pointers", "number long, snapshot string").orderBy(F.desc("number")).first()
+        return (last["number"], last["snapshot"]) if last else (0, None)
+
+    def _totals_of(self, snapshot: str | None) -> DataFrame:
+        return self.spark.read.schema(DELTA).parquet(f"{self.path}/snapshots/{snapshot}") if snapshot else self.spark.createDataFrame([], DELTA)
+
+    def _folded(self, snapshot: str | None) -> DataFrame:
+        return self.spark.read.schema("attempt string").parquet(f"{self.path}/folded/{snapshot}") if snapshot else self.spark.createDataFrame([], "attempt string")
+
+    def _unfolded(self, snapshot: str | None) -> DataFrame:
+        return self._records("commits", "batch string, attempt string").select("attempt").join(self._folded(snapshot), "attempt", "left_anti")
+
+    def _deltas(self, attempts: DataFrame) -> DataFrame:
+        """The signed totals of the given attempts."""
+        names = [r["attempt"] for r in attempts.collect()]  # a few since the last fold
+        if not names:
+            return self.spark.createDataFrame([], DELTA)
+        return self.spark.read.schema(DELTA).parquet(*[f"{self.path}/deltas/attempt={n}" for n in names])
