@@ -64,6 +64,20 @@ def test_pipeline_gives_all_fixed_features(spark):
     x.unpersist()
 
 
+@pytest.mark.parametrize("few", [10_000, 20])
+def test_percentile_by_rank(spark, few, monkeypatch):
+    from vigilframe.models import isolation
+
+    monkeypatch.setattr(isolation, "FEW", few)
+    monkeypatch.setattr(isolation, "BINS", 16)
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(size=3000), np.r_[np.zeros(2500), rng.random(3), 1e12], np.array([4.0]), np.repeat([1.0, 2.0], 400)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+        for share in (0.0, 0.5, 0.65, 0.9, 0.999, 1.0):
+            assert isolation.percentile(df, "x", share) == pytest.approx(np.quantile(x, share), rel=1e-12, abs=1e-12)
+    assert isolation.percentile(df.limit(0), "x", 0.5) is None
+
+
 def test_scaler_constant_column(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     s = Scaler.fit(df, ["a", "b"])

@@ -48,6 +48,21 @@ def test_private_addresses(spark):
     assert all(not got[a] for a in PUBLIC)
 
 
+def test_ipv6_against_the_registry(spark):
+    """Network edges, mixed notations and malformed text."""
+    import ipaddress
+
+    edges = [ipaddress.ip_network(n) for n in (*network.PRIVATE_V6, *network.PUBLIC_V6)]
+    texts = {str(n[i]) for n in edges for i in (0, -1)} | {n[0].exploded.upper() for n in edges}
+    texts |= {str(ipaddress.IPv6Address(min(2**128 - 1, int(n[-1]) + 1))) for n in edges} | {str(ipaddress.IPv6Address(max(0, int(n[0]) - 1))) for n in edges}
+    texts |= {"::ffff:10.0.0.1", "64:ff9b::8.8.8.8", "::8.8.8.8", "1:2:3:4:5:6:7:8", "1::8", "::", "fe80::1%eth0", "2606:4700:4700::1111"}
+    wrong = {"1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", ":::", "12345::", "g::1", ":1", "1:", "::1.2.3", "::1.2.3.256", "fe80::1/64", "a:b"}
+    got = {r.ip: bool(r.p) for r in spark.createDataFrame([(a,) for a in texts | wrong], "ip string").select("ip", network.is_private_ip(F.col("ip")).alias("p")).collect()}
+    within = lambda a: any(a in ipaddress.ip_network(n) for n in network.PRIVATE_V6) and not any(a in ipaddress.ip_network(n) for n in network.PUBLIC_V6)
+    assert {a: got[a] for a in texts} == {a: within(ipaddress.IPv6Address(a.split("%")[0])) for a in texts}
+    assert not any(got[a] for a in wrong)
+
+
 @pytest.mark.parametrize(("agent", "os", "browser"), [
     ("Mozilla (Windows NT) Chrome/1 Safari/2", "Windows", "Chrome"), ("(Macintosh) Safari", "Mac", "Safari"), ("Linux Firefox", "Linux", "Firefox"), ("windows chrome", "OtherOS", "OtherBrowser"),
 ])

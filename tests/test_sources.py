@@ -11,6 +11,7 @@ from vigilframe.operators import sets
 from vigilframe.schema import EVENT
 from vigilframe.sources import READERS, files, get_log_reader, read
 from vigilframe.sources.synthetic import Generator
+from vigilframe.streaming.micro_batch import for_each_batch, stream_logs
 
 
 def test_registry():
@@ -86,3 +87,19 @@ def test_validate_and_clean(spark):
     assert out.user_id == "unknown" and len(out.session_id) == 32
     assert sets.sample_rows(spark.range(100).withColumnRenamed("id", "row_id"), 7).count() == 7
     assert sets.union(spark.range(1).toDF("id"), spark.range(1).select("id", F.lit(1).alias("x"))).columns == ["id", "x"]
+
+
+def test_logs_in_micro_batches(spark, tmp_path):
+    """File by file, the stream gives the events of the whole read."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for i in range(4):
+        some = [{"eventTime": f"2024-01-01T1{i}:00:00Z", "eventName": f"e{i}-{k}", "userIdentity": {"userName": f"u{k}"}, "sourceIPAddress": "1.2.3.4", "requestID": f"s{i}"} for k in range(3)]
+        (logs / f"{i}.json").write_text(json.dumps({"Records": some} if i % 2 else some))
+    (logs / "bad.json").write_text("{not json")
+    seen: list = []
+    numbers: list = []
+    query = for_each_batch(stream_logs(spark, "AWS", str(logs)), f"file://{tmp_path}/state", lambda df, n: (numbers.append(n), seen.extend(tuple(r) for r in df.collect())), adapt=lambda df: df)
+    query.awaitTermination()
+    assert len(numbers) == 5
+    assert sorted(seen) == sorted(tuple(r) for r in read(spark, "aws", str(logs)).collect()) and len(seen) == 12

@@ -68,3 +68,24 @@ def test_entropy_and_transitions(spark):
     assert entropy["u"] == 1.0 and abs(entropy["v"]) == 0.0
     steps = {r.user_id: (round(r.common_transition_prob, 6), r.unique_transitions) for r in features.transitions(df).collect()}
     assert steps == {"u": (0.666667, 2), "v": (0.0, 0)}
+
+
+def test_busy_user_takes_no_frames(spark):
+    """A user with 300,000 rows in one window: no row gathers the others, and the count is right."""
+    n = 300_000
+    rows = spark.range(n).select(F.lit("u").alias("user_id"), F.col("id").alias("row_id"), F.timestamp_micros(F.col("id")).alias("timestamp"), F.concat(F.lit("a"), F.pmod(F.xxhash64("id"), F.lit(1000))).alias("action"))
+    out = windows.trailing_distinct(rows, {"d": "action"}, "user_id", 3600)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ArrowEvalPython" not in plan
+    assert out.agg(F.max("d"), F.min("d"), F.count("d")).first() == (1000, 1, n)
+
+
+def test_group_values_are_no_windows(spark):
+    """Counts of a busy user are combined before the shuffle; rows without a key form a group without session counts."""
+    rows = [("u", 1, "s", "success", 3.0), ("u", 2, "s", "failure", 5.0), (None, 3, None, "success", 1.0), (None, 4, None, "success", 2.0)]
+    df = spark.createDataFrame(rows, "user_id string, row_id long, session_id string, status string, session_duration_seconds double")
+    df = df.selectExpr("*", "timestamp'2024-01-01 10:00:00' + make_interval(0, 0, 0, 0, row_id) as timestamp", "true as is_privileged_session", "false as policy_violation", "'r' as resource", "status as action", "'i' as ip_address", "'g' as region", "'a' as user_agent")
+    out = features.with_stats(features.with_stats(df, "user_id", list(features.USER)), "session_id", list(features.SESSION))
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.row_id: (r.success_count, r.priv_duration_mean, r.actions_per_session, r.distinct_actions_per_session, r.session_start_hour) for r in out.collect()}
+    assert got == {1: (1, 4.0, 2, 2, 11), 2: (1, 4.0, 2, 2, 11), 3: (2, 1.5, 0, 0, 13), 4: (2, 1.5, 0, 0, 13)}

@@ -56,25 +56,37 @@ def no_events(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ", ".join(f"`{c}` {k}" for c, k in EVENT.items()))
 
 
+def json_schema(record: str) -> str:
+    """What a file of records reads as: wrapped in an object, or bare."""
+    return f"Records array<{record}>, {record[record.index('<') + 1 : -1]}, _corrupt_record string"
+
+
+def records_of(raw: DataFrame) -> DataFrame:
+    """One row per record of files read by json_schema; text that doesn't parse gives none."""
+    wrapped = raw.where("Records is not null").select(F.explode("Records").alias("r")).select("r.*")
+    fields = wrapped.columns
+    bare = raw.where("Records is null and _corrupt_record is null").select(*fields)
+    return wrapped.unionByName(bare.where(~F.forall(F.array(*[F.col(c).isNull() for c in fields]), lambda absent: absent)))
+
+
 def read_json(spark: SparkSession, path: str, record: str, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Cleaned events of a file or folder; no rows if it is missing. Records that don't parse are skipped."""
-    schema = f"Records array<{record}>, {record[record.index('<') + 1 : -1]}, _corrupt_record string"
     try:
-        raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+        raw = spark.read.schema(json_schema(record)).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return no_events(spark)
-    wrapped = raw.where("Records is not null").select(F.explode("Records").alias("r")).select("r.*")
-    fields = wrapped.columns
-    bare = raw.where("Records is null and _corrupt_record is null").select(*fields)
-    bare = bare.where(~F.forall(F.array(*[F.col(c).isNull() for c in fields]), lambda absent: absent))
-    return clean(standardize(parse(wrapped.unionByName(bare))))
+    return clean(standardize(parse(records_of(raw))))
+
+
+#: Record schema and parser by source, for whole reads and for micro-batches.
+FORMATS = {"aws": (TRAIL_RECORD, parse_trail), "azure": (ACTIVITY_RECORD, parse_activity)}
 
 
 def read_trail(spark: SparkSession, path: str) -> DataFrame:
-    return read_json(spark, path, TRAIL_RECORD, parse_trail)
+    return read_json(spark, path, *FORMATS["aws"])
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
-    return read_json(spark, path, ACTIVITY_RECORD, parse_activity)
+    return read_json(spark, path, *FORMATS["azure"])
