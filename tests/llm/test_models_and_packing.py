@@ -280,6 +280,28 @@ def test_rare_words_have_exact_counts(spark, make_docs):
     assert few == all_
 
 
+def test_very_long_texts(spark, make_docs):
+    """Texts above the bytes that are worked on at once give what their words give."""
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(400_000))
+    assert len(long) > 2 * textnum.CHUNK
+    docs = make_docs([(1, long), (2, "w1 w2 w3"), (3, long + "\n"), (4, "x" * (textnum.CHUNK + 5))])
+    got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.fit(spark, docs)).collect()}
+    c = Counter(WORD.findall(long))
+    n, v = 2 * sum(c.values()) + 3 + 1 + 4, len(set(c) | {"w1", "w2", "w3"}) + 2
+    p = lambda w: math.log10((2 * c[w] + (w in ("w1", "w2", "w3")) + 0.5) / (n + 0.5 * (v + 1)))
+    end = math.log10(4.5 / (n + 0.5 * (v + 1)))
+    assert got[1].base_score == pytest.approx(sum(k * p(w) for w, k in c.items()) + end) and got[1].n_tokens == 400_001
+    assert got[3].base_score == pytest.approx(got[1].base_score) and got[4].n_known == 2
+    table = quality._pooling_table(*quality.word_vectors(docs))
+    pooled = quality.pool([long.encode(), None, b"w1 w2 w3"], table)
+    words = np.array([h for _, _, x in textnum.word_hashes([long.encode()[: textnum.CHUNK // 2 * 2]], lower=False) for h in x])
+    assert pooled[0, -1] == pytest.approx(np.log1p(400_000)) and len(words) and not pooled[1].any()
+    doc, word = toxicity.word_sets([long.encode(), b"w1"])
+    assert len(set(word[doc == 0])) == (doc == 0).sum() and set(word[doc == 1]) <= set(word[doc == 0])
+    assert len(toxicity._few(np.arange(9000))) == toxicity.MAX_WORDS
+
+
 def planted(n, odd_words, share, seed):
     """(texts, labels): labelled texts hold some of odd_words among common ones."""
     rng = random.Random(seed)

@@ -51,3 +51,17 @@ def test_pipeline(spark, sf_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert packed.columns == COLUMNS["op8_pack_documents"]
+
+
+def test_stages_take_odd_documents(spark, sf_dir, make_docs, odd):
+    """Nulls, empty and long texts, repeated rows, clashing names and no rows at all."""
+    docs = make_docs(odd).selectExpr("*", "1 as score", "2 as `__id`", "3 as copies", "4 as label", "5 as fp")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        had = {r.doc_id: r.copies for r in docs.collect()}
+        assert all(r.doc_id in had and r.copies == 3 for r in out.collect())
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert {r.doc_id for r in packed.collect()} == {r[0] for r in odd}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0

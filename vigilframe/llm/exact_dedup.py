@@ -23,7 +23,8 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keep: "min" retains the smallest id of equal texts, "max" the largest.
     Null text equals the empty text. Rows that share an id and a text count each, and one of
     them is kept. Null ids never stay where the group has another id; a group of null ids alone
-    keeps one row, with keep_id null. An empty table gives no rows. Other columns are ignored.
+    keeps one row, with keep_id null. Very long texts are compared whole. An empty table gives no
+    rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.col(text_col)

@@ -162,15 +162,18 @@ class QualityModel:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, learn_from: Callable[[Column], Column] | None = None) -> QualityModel:
     """labels: (id, label 0 or 1). learn_from: over the labels' id, the rows whose label may be seen.
 
-    Word vectors come from all documents. Null labels are not used; a document with several
-    labels has their rounded mean. Without any label the model scores 0.5.
+    Word vectors come from all documents. Null labels and ids are not used; a document with
+    several labels has their rounded mean, and repeated rows train each. Which rows train, where
+    there are more than max_train, is decided by hash, ties by id. Without any label, or with an
+    empty table, the model scores 0.5. Columns of any name are fine.
     """
     table = spark.sparkContext.broadcast(_pooling_table(*word_vectors(docs, text_col)))
     allowed = labels.where(learn_from(F.col(id_col))) if learn_from is not None else labels
     known = allowed.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.round(F.avg(label_col)).cast("double").alias("__label"))
     # At most max_train rows of two numbers, so every task can have them.
     known = known.orderBy(F.xxhash64("__id", F.lit("quality")), "__id").limit(max_train)
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select(F.col("__id").alias("id"), "__label", F.col(text_col).cast("binary").alias("body"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
+    rows = source.join(F.broadcast(known), F.col("id") == F.col("__id")).select("id", "__label", "body")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -186,7 +189,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All rows and columns of docs with score, the probability of label 1.
 
-    Null text is scored as empty. Repeated rows get the same score; an empty table gives no rows.
+    Null text is scored as empty. Very long texts are read whole, some words at a time. Repeated
+    rows, and rows with null ids, get the score of their text; an empty table gives no rows. A
+    column that is called score_col already is replaced.
     """
     table, network = model.table, model.network
 

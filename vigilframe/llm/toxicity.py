@@ -24,6 +24,8 @@ BITS = 19
 HEADS = (2, 3, 4, 5, 6, 7)
 #: Most documents of either sample, picked by the hash of their id.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 9_000
+#: Most distinct words of a document that train, those of the smallest hash: with the samples' sizes a bound on the driver.
+MAX_WORDS = 4_000
 #: A word counts if so many sampled documents have it.
 LEAST_DOCS = 3
 #: Share of the positives that the cut may miss, measured on every fifth of them, which training doesn't see.
@@ -40,6 +42,10 @@ def word_sets(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return flat >> BITS, flat & ((1 << BITS) - 1)
 
 
+def _few(words: np.ndarray) -> np.ndarray:
+    return words if len(words) <= MAX_WORDS else np.sort(words[np.argpartition(textnum.mix(words.astype(np.uint64)), MAX_WORDS)[:MAX_WORDS]])
+
+
 @dataclass
 class ToxicityModel:
     weights: Broadcast  # one number per hashed word
@@ -137,8 +143,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     """labels: (id, label 0 or 1). learn_from: over the id, the rows whose label may be seen.
 
     Only positive labels train. prior is the share of toxic documents; by default the share among
-    the labels that may be seen. Null labels are not used. Without a positive label the model
-    scores 0 everywhere.
+    the labels that may be seen. Null labels and ids are not used. Which rows train, where there
+    are more than the samples take, is decided by hash, ties by id. Without a positive label, or
+    with an empty table, the model scores 0 everywhere. Columns of any name are fine.
     """
     allowed = labels.where(learn_from(F.col(id_col))) if learn_from is not None else labels
     known = allowed.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__label"))
@@ -152,13 +159,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     pool = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"))
     pool = pool.where(learn_from(F.col("__id"))) if learn_from is not None else pool
     unlabelled = pool.orderBy(chance, "__id").limit(MAX_UNLABELLED).select("__id", F.lit(False).alias("__positive")).distinct()
-    rows = docs.join(F.broadcast(positive.union(unlabelled)), F.col(id_col) == F.col("__id")).select(F.col("__id").alias("id"), F.col("__positive").alias("positive"), F.col(text_col).cast("binary").alias("body"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
+    rows = source.join(F.broadcast(positive.union(unlabelled)), F.col("id") == F.col("__id")).select("id", F.col("__positive").alias("positive"), "body")
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             doc, word = word_sets(list(pdf["body"]))
             cut = np.searchsorted(doc, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"id": pdf["id"], "positive": pdf["positive"], "words": [word[cut[i] : cut[i + 1]].astype("<i4").tobytes() for i in range(len(pdf))]})
+            yield pd.DataFrame({"id": pdf["id"], "positive": pdf["positive"], "words": [_few(word[cut[i] : cut[i + 1]]).astype("<i4").tobytes() for i in range(len(pdf))]})
 
     got = rows.mapInPandas(listed, "id long, positive boolean, words binary").toPandas()
     got = got.iloc[np.lexsort([textnum.mix(got["id"].to_numpy(np.int64).view(np.uint64)), ~got["positive"].to_numpy(bool)])]
@@ -172,7 +180,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All rows and columns of docs with score, the probability that the text is toxic.
 
-    Null text is scored as empty. Repeated rows get the same score; an empty table gives no rows.
+    Null text is scored as empty. Very long texts are read whole. Repeated rows, and rows with
+    null ids, get the score of their text; an empty table gives no rows. A column that is called
+    score_col already is replaced.
     """
     weights, bias = model.weights, model.bias
 
