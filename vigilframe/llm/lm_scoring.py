@@ -45,6 +45,8 @@ PRIOR = 200.0
 #: Distinct grams a task holds before it sends them, and bytes of text that ask together.
 HELD, BLOCK = 2_000_000, 8 << 20
 MAX_LEVEL = 40
+#: Kept by the worker: making one costs more than packing a block.
+_PRESS, _UNPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _with_ends(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,14 +107,14 @@ def _packed(a: np.ndarray, ascending: bool) -> bytes:
     if not len(a):
         return b""
     a = np.concatenate([a[:1], a[1:] - a[:-1]]) if ascending else a
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes(), 1)
+    return _PRESS.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
 
 
 def _unpacked(data: bytes, kind: str, ascending: bool) -> np.ndarray:
     if not data:
         return np.empty(0, kind)
     width = np.dtype(kind).itemsize
-    a = np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T).view(kind)[:, 0]
+    a = np.ascontiguousarray(np.frombuffer(_UNPRESS.decompress(data), np.uint8).reshape(width, -1).T).view(kind)[:, 0]
     return np.cumsum(a, dtype=kind) if ascending else a
 
 
