@@ -163,11 +163,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any name pass through, save names that start with "__mix".
     """
     drawn = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **mix)
-    names = {"doc": id_col, "hash": "row_hash"}
-    drawn = drawn.groupBy(*[F.col(c).alias(f"__mix_{n}") for n, c in names.items()]).agg(F.sum("copies").alias("__mix_copies"), F.max("size").alias("__mix_size")).where("__mix_copies > 0 and __mix_size > 0")
+    # Plain equality on three columns, which the window is dealt by too: whole texts are shuffled once.
+    key = {"__mix_null": F.col(id_col).isNull(), "__mix_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0))}
+    drawn = drawn.groupBy(*[c.alias(n) for n, c in key.items()], F.col("row_hash").alias("__mix_row")).agg(F.sum("copies").alias("__mix_copies"), F.max("size").alias("__mix_size")).where("__mix_copies > 0 and __mix_size > 0")
     # Rows that agree in id, source and text are one draw with the copies of all.
-    key = row_hash(F.col(id_col), F.col(source_col), F.col(text_col), F.lit(seed))
-    first = F.row_number().over(Window.partitionBy("__mix_id", "__mix_row").orderBy(F.lit(1)))
-    keyed = docs.withColumns({"__mix_id": F.col(id_col).cast("long"), "__mix_row": key}).withColumn("__mix_first", first).where("__mix_first = 1")
-    same = keyed["__mix_id"].eqNullSafe(F.col("__mix_doc")) & (keyed["__mix_row"] == F.col("__mix_hash"))
-    return keyed.join(drawn, same).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[f"`{c}`" for c in docs.columns])
+    row = row_hash(F.col(id_col), F.col(source_col), F.col(text_col), F.lit(seed))
+    names = [*key, "__mix_row"]
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))
+    keyed = docs.withColumns({**key, "__mix_row": row}).withColumn("__mix_first", first).where("__mix_first = 1")
+    return keyed.join(drawn, names).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_copies")))).select(*[f"`{c}`" for c in docs.columns])
