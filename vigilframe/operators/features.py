@@ -119,9 +119,16 @@ def count_pivot(df: DataFrame, key: str, column: str, values: Sequence[str], nam
     return out.select(key, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(name.format(v)) for v in values])
 
 
-def vocabulary(df: DataFrame, column: str, cap: int = 100) -> list[str]:
-    """The distinct values, most frequent first up to cap, then sorted: what pivots and one-hots are fitted on."""
-    return sorted(r["value"] for r in top_values(df, column, cap).collect())
+def vocabularies(df: DataFrame, columns: Sequence[str], cap: int = 100) -> dict[str, list[str]]:
+    """The distinct values of each column, most frequent first up to cap, then sorted: what pivots and one-hots are fitted on.
+
+    One pass counts the values of all columns; cap values a column come to the driver.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    counts = df.select(each.alias("x")).select("x.*").where("value is not null").groupBy("column", "value").count()
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
+    found = counts.withColumn("place", place).where(F.col("place") <= cap).select("column", "value").collect() if columns else []
+    return {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
 
 
 def status_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
