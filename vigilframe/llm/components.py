@@ -56,10 +56,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node links its larger neighbours to its
     smallest neighbour, then its smaller neighbours to the smallest. Both are a min and a join,
-    so a node with very many neighbours is combined before the shuffle; the least neighbours
-    are written, so that their size is known and their join shares no exchange with the edges:
-    it is a broadcast where they are few, and a hub can be split. Null ends are dropped; loops,
-    repeated edges and an empty table are fine.
+    so a node with very many neighbours is combined before the shuffle. Null ends are dropped;
+    loops, repeated edges and an empty table are fine.
     """
     pairs = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null and src <> dst")
     now = materialize(pairs.mapInPandas(_contract, "src long, dst long"), "components", "none")
@@ -67,13 +65,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         # Edges run from the larger node (src) to the smaller (dst).
         both = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = materialize(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low")), "components-low", "none")
+        least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
         large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src <> dst").distinct()
         lower = large.groupBy("src").agg(F.min("dst").alias("low"))
         small = large.join(lower, "src")
         small = small.select("src", F.col("low").alias("dst")).union(small.where("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))).distinct()
         before, now = now, materialize(small, "components", "none")
-        discard(before, least)
+        discard(before)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

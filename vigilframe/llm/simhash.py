@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import discard, materialize, row_hash
+from vigilframe.llm.common import materialize, row_hash
 from vigilframe.llm.components import connected_components, forest
 
 BITS = 64
@@ -171,10 +171,7 @@ def _grouped(docs: DataFrame, shingle: int, budget: int, id_col: str, text_col:
     rows = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash")
     labels = connected_components(fingerprint_links(rows.select("fp").distinct(), budget)).withColumnRenamed("node", "fp")
     labels = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")).join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "simhash-labels")
-    # Written, as every aggregate that a join may meet a hot key on: the join can then be split.
-    lowest = materialize(labels.groupBy("label").agg(F.min("low").alias("component_id")), "simhash-lowest")
-    named = materialize(labels.join(lowest, "label").select("fp", "label", "component_id"), "simhash-named")
-    discard(labels, lowest)
+    named = labels.join(labels.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("fp", "label", "component_id")
     return rows.join(named, "fp")
 
 
