@@ -15,14 +15,15 @@ from vigilframe.operators.scaling import Scaler
 from vigilframe.plans.pipeline import Encoder, extract
 from vigilframe.plans.reports import LIMITS, METRICS, SQL_RULES
 from vigilframe.plans.twins import over_events
+from vigilframe.schema import FIXED_FEATURES
 from vigilframe.session import materialize, shared_dir
 from vigilframe.sources import read
 from vigilframe.sources.events import read_events
 from vigilframe.sources.synthetic import Generator
 from vigilframe.streaming.micro_batch import score_batches, stream_raw
 
-#: The detector's own defaults, at the share of anomalies that the registered queries ask for.
-DEFAULTS = Parameters(contamination=0.1)
+#: The registered hybrid queries take the 48 fixed features and shallower forests and windows: with all defaults they ran beyond 150 s at sf0.01.
+DEFAULTS = Parameters(contamination=0.1, forest_trees=40, forest_depth=10, sequence_length=4)
 
 
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -43,19 +44,19 @@ def m3_batch_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m8_hybrid_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, columns = _features(spark, sf_dir)
+    f, columns = _features(spark, sf_dir)[0], list(FIXED_FEATURES)
     return HybridDetector(DEFAULTS).fit(f, columns).predict(f).select("row_id", "anomaly_score", "is_anomaly_predicted")
 
 
 def m9_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, columns = _features(spark, sf_dir)
+    f, columns = _features(spark, sf_dir)[0], list(FIXED_FEATURES)
     found = HybridDetector(DEFAULTS).fit(f, columns).explain()
     return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(found.items(), 1)], "rank int, feature string, importance double")
 
 
 def t6_first_anomalies_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three predicted anomalies, each with the five features of most importance and their values."""
-    f, columns = _features(spark, sf_dir)
+    f, columns = _features(spark, sf_dir)[0], list(FIXED_FEATURES)
     model = HybridDetector(DEFAULTS).fit(f, columns)
     top = list(model.explain().items())[:5]
     first = model.predict(f).where("is_anomaly_predicted = 1").orderBy("row_id").limit(3)
