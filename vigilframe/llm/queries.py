@@ -11,10 +11,12 @@ from vigilframe.llm import lm_scoring, quality, toxicity
 from vigilframe.llm.common import held_out, materialize, shared_dir, table, word_count
 from vigilframe.llm.embedding_dedup import near_vectors
 from vigilframe.llm.exact_dedup import content_sort_dedup
+from vigilframe.llm.filter_audit import audit_documents
 from vigilframe.llm.line_dedup import line_dedup, passages_of
 from vigilframe.llm.mixing import mix_sources
 from vigilframe.llm.packing import pack_documents
 from vigilframe.llm.simhash import simhash_groups
+from vigilframe.llm.token_alignment import align_tokenizers
 from vigilframe.llm.token_rollup import TokenRollup, counted, deletes, inserts, revisions, token_count
 
 
@@ -118,6 +120,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, budget=3)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A byte-level tokenizer with 50,257 ids against one of 32,000 pieces."""
+    import public_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, by source."""
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_rollup": op1_token_rollup,
     "op2_mix_sources": op2_mix_sources,
@@ -129,6 +143,8 @@ QUERIES = {
     "op8_pack_documents": op8_pack_documents,
     "op9_lm_scores": op9_lm_scores,
     "op10_simhash": op10_simhash,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_filter_audit": op13_filter_audit,
     "token_rollup_words": token_rollup_words,
 }
 
@@ -136,7 +152,32 @@ LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 
 WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))"
 
+#: Failures of A to D as a number whose bits are A = 1, B = 2, C = 4, D = 8.
+TEXT_MASK = """(len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT"""
+
 ORACLES = {
+    "op13_filter_audit": f"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+        m AS (SELECT doc_id, part, {TEXT_MASK} + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM d),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        h AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (SELECT v.name || w.name || x.name || y.name || z.name AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits
+              FROM f v JOIN f w ON w.bit <> v.bit JOIN f x ON x.bit NOT IN (v.bit, w.bit) JOIN f y ON y.bit NOT IN (v.bit, w.bit, x.bit) JOIN f z ON z.bit NOT IN (v.bit, w.bit, x.bit, y.bit)),
+        s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0)::INT AS earlier FROM o, range(1, 6) r(step)),
+        r AS (SELECT part, filter_order, step, bit,
+                     sum(CASE WHEN mask & (bit | earlier) = 0 THEN n ELSE 0 END) AS kept,
+                     sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+                     sum(CASE WHEN mask & bit > 0 AND mask & earlier > 0 THEN n ELSE 0 END) AS redundant,
+                     sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                     sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+                     sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+              FROM h, s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+               good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM r
+    """,
     "token_rollup_words": f"""
         WITH d AS (SELECT source, lang, {WORDS} AS w1, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS w2 FROM documents),
         v AS (SELECT source, lang, 'words' AS tokenizer, w1 AS tokens FROM d UNION ALL SELECT source, lang, 'letters', w2 FROM d)
