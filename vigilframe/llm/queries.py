@@ -16,6 +16,7 @@ from vigilframe.llm.line_dedup import line_dedup, passages_of
 from vigilframe.llm.mixing import mix_sources
 from vigilframe.llm.packing import pack_documents
 from vigilframe.llm.simhash import simhash_groups
+from vigilframe.llm.suffix_dedup import repeated_strings
 from vigilframe.llm.token_alignment import align_tokenizers
 from vigilframe.llm.token_rollup import TokenRollup, counted, deletes, inserts, revisions, token_count
 
@@ -120,6 +121,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, budget=3)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by strings of 400 bytes that occur elsewhere too go."""
+    found = repeated_strings(table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A byte-level tokenizer with 50,257 ids against one of 32,000 pieces."""
     import public_tokenizers
@@ -143,6 +151,7 @@ QUERIES = {
     "op8_pack_documents": op8_pack_documents,
     "op9_lm_scores": op9_lm_scores,
     "op10_simhash": op10_simhash,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_token_alignment": op12_token_alignment,
     "op13_filter_audit": op13_filter_audit,
     "token_rollup_words": token_rollup_words,
