@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.models.ensemble import HybridDetector, Parameters
 from vigilframe.models.isolation import IsolationForest
+from vigilframe.operators import quantiles
 from vigilframe.operators.scaling import Scaler
 from vigilframe.plans.pipeline import Encoder, extract
 from vigilframe.schema import FIXED_FEATURES
@@ -64,18 +65,37 @@ def test_pipeline_gives_all_fixed_features(spark):
     x.unpersist()
 
 
-@pytest.mark.parametrize("few", [10_000, 20])
-def test_percentile_by_rank(spark, few, monkeypatch):
-    from vigilframe.models import isolation
-
-    monkeypatch.setattr(isolation, "FEW", few)
-    monkeypatch.setattr(isolation, "BINS", 16)
+def test_percentiles_by_radix_selection(spark):
     rng = np.random.default_rng(1)
-    for x in (rng.normal(size=3000), np.r_[np.zeros(2500), rng.random(3), 1e12], np.array([4.0]), np.repeat([1.0, 2.0], 400)):
+    tiny, huge = 5e-324, 1.7e308
+    tables = (rng.normal(size=3000), np.r_[np.zeros(2500), rng.random(3), 1e12], np.array([4.0]), np.repeat([1.0, 2.0], 400), np.array([-0.0, 0.0, -tiny, tiny, -huge, huge, 3.5]))
+    shares = (0.0, 0.5, 0.65, 0.9, 0.999, 1.0)
+    for x in tables:
         df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
-        for share in (0.0, 0.5, 0.65, 0.9, 0.999, 1.0):
-            assert isolation.percentile(df, "x", share) == pytest.approx(np.quantile(x, share), rel=1e-12, abs=1e-12)
-    assert isolation.percentile(df.limit(0), "x", 0.5) is None
+        with np.errstate(over="ignore", invalid="ignore"):
+            want = [np.quantile(x / 4, s) * 4 for s in shares]
+        assert quantiles.percentiles(df, "x", shares) == pytest.approx(want, rel=1e-12, abs=1e-12)
+        ranks = [0, len(x) // 2, len(x) - 1, len(x)]
+        assert quantiles.order_statistics(df, "x", ranks) == [*np.sort(x)[ranks[:3]], None]
+    assert quantiles.percentile(df.limit(0), "x", 0.5) is None
+
+
+def test_percentiles_of_infinite_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(float(v),) for v in [*range(20), inf]] + [(-inf,)] * 2, "x double")
+    assert quantiles.percentiles(df, "x", [0.0, 0.03, 0.5, 0.99, 1.0]) == [-inf, -inf, 9.0, inf, inf]
+    assert quantiles.order_statistics(df, "x", [1, 2, 21, 22]) == [-inf, 0.0, 19.0, inf]
+
+
+def test_any_number_of_places_takes_the_same_passes(spark):
+    df = spark.range(5000).select((F.col("id") * 0.5).alias("x"))
+    jobs = {}
+    for ranks in ([17], range(0, 5000, 7)):
+        spark.sparkContext.setJobGroup(f"places-{len(ranks)}", "")
+        assert quantiles.order_statistics(df, "x", ranks) == [k * 0.5 for k in ranks]
+        jobs[len(ranks)] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"places-{len(ranks)}"))
+    spark.sparkContext.setJobGroup("others", "")
+    assert jobs[715] <= jobs[1] + 1
 
 
 def test_scaler_constant_column(spark):

@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from vigilframe.operators import features, windows
+from vigilframe.operators import features, slices, windows
 
 SCHEMA = "user_id string, row_id long, timestamp timestamp, action string"
 
@@ -89,3 +89,62 @@ def test_group_values_are_no_windows(spark):
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {r.row_id: (r.success_count, r.priv_duration_mean, r.actions_per_session, r.distinct_actions_per_session, r.session_start_hour) for r in out.collect()}
     assert got == {1: (1, 4.0, 2, 2, 11), 2: (1, 4.0, 2, 2, 11), 3: (2, 1.5, 0, 0, 13), 4: (2, 1.5, 0, 0, 13)}
+
+
+def _busy(spark, n, share=2):
+    """Events of which one user has every second one, with ties in time and null values."""
+    rng = random.Random(9)
+    rows = [("hot" if i % share == 0 else f"u{rng.randrange(6)}", i, at(rng.randrange(n // 4)), rng.choice("abcd") if rng.random() < 0.9 else None) for i in range(n)]
+    return spark.createDataFrame([*rows, ("hot", n, None, "a"), (None, n + 1, at(3), "b")], SCHEMA)
+
+
+def _all_windows(df):
+    df = windows.trailing_distinct(windows.trailing_count(df, "n", "user_id", 300), {"d": "action"}, "user_id", 300)
+    df = windows.running_distinct(windows.with_gap(df, "gap", "user_id"), "so_far", "user_id", "action")
+    df = windows.with_next(windows.with_recent(df, "user_id", 5, lambda w: {"mean_gap": F.round(F.avg("gap").over(w), 6)}), "following", "user_id", "action")
+    return windows.sequences(df.withColumn("x", F.col("row_id").cast("double")), ["x", "gap"], 4)
+
+
+def test_slices_equal_whole_keys(spark, monkeypatch):
+    df = _busy(spark, 600).persist()
+    whole = {r.row_id: r for r in _all_windows(df).collect()}
+    monkeypatch.setattr(slices, "HOT_ROWS", 100)
+    monkeypatch.setattr(slices, "SLICE_ROWS", 16)
+    assert slices.hot_keys(df, "user_id").keys.collect() == [("hot",)]
+    cut = {r.row_id: r for r in _all_windows(df).collect()}
+    assert cut == whole and len(cut) == 602
+    assert slices.hot_keys(df.where("user_id is null"), "user_id").keys is None
+
+
+def test_hot_null_key_is_sliced(spark, monkeypatch):
+    monkeypatch.setattr(slices, "HOT_ROWS", 20)
+    monkeypatch.setattr(slices, "SLICE_ROWS", 8)
+    df = spark.createDataFrame([(None, i, at(i), "a") for i in range(50)], SCHEMA)
+    assert [r.n for r in windows.trailing_count(df, "n", "user_id", 180).orderBy("row_id").collect()] == [1, 2, *[3] * 48]
+
+
+def test_no_task_holds_a_hot_user(spark, monkeypatch):
+    """Half of the rows are one user's, yet the largest task has less than twice the mean."""
+    monkeypatch.setattr(slices, "HOT_ROWS", 100_000)
+    monkeypatch.setattr(slices, "SLICE_ROWS", 2_000)
+    user = F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), F.pmod(F.xxhash64("id"), F.lit(997)).cast("string")))
+    df = spark.range(2_000_000).select(user.alias("user_id"), F.col("id").alias("row_id"), F.timestamp_seconds(F.col("id") * 7).alias("timestamp"), F.concat(F.lit("a"), (F.col("id") % 5).cast("string")).alias("action"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = windows.with_recent(windows.trailing_count(df, "n", "user_id", 60), "user_id", 5, lambda w: {"newest": F.max("row_id").over(w)})
+        tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 2_000_000 and max(tasks) < 2 * sum(tasks) / len(tasks)
+    # The hot user has a row every 14 seconds.
+    assert out.where("user_id = 'hot' and row_id > 100").agg(F.min("n"), F.max("n"), F.sum((F.col("newest") != F.col("row_id")).cast("int"))).first()[:] == (5, 5, 0)
+
+
+def test_global_sequences_need_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(slices, "SLICE_ROWS", 16)
+    df = spark.createDataFrame([(f"u{i % 7}", i, at(i % 50), "a") for i in range(300)], SCHEMA).withColumn("x", F.col("row_id").cast("double"))
+    out = windows.sequences(df, ["x"], 10, key=None)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    order = sorted(range(300), key=lambda i: (i % 50, i))
+    want = {i: [[float(x)] for x in order[k - 9 : k + 1]] if k >= 9 else None for k, i in enumerate(order)}
+    assert {r.row_id: r.sequence for r in out.collect()} == want

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.functions import network, scalars
 from vigilframe.operators import windows
+from vigilframe.operators.slices import Hot, hot_keys
 from vigilframe.schema import SENTINELS
 
 BURST_SIGMAS, ROWS = 2.0, 5
@@ -69,12 +70,12 @@ def with_stats(df: DataFrame, key: str, names: Sequence[str], base: DataFrame |
     return out.withColumns({n: F.when(F.col(key).isNull(), 0).otherwise(F.col(n)) for n in missing if n in NO_SESSION})
 
 
-def time_features(df: DataFrame) -> DataFrame:
+def time_features(df: DataFrame, hot: Hot | None = None) -> DataFrame:
     ts = F.col("timestamp")
     sin, cos = scalars.cyclic(F.hour(ts))
-    return df.withColumns({
+    return windows.with_gap(df, "time_since_last_access", "user_id", hot=hot).withColumns({
         "hour": F.hour(ts), "day_of_week": scalars.day_of_week(ts), "is_weekend": scalars.is_weekend(ts), "is_working_hour": scalars.is_working_hour(ts),
-        "hour_sin": sin, "hour_cos": cos, "time_since_last_access": windows.gap_seconds("user_id"),
+        "hour_sin": sin, "hour_cos": cos,
         "session_duration": F.coalesce(scalars.seconds_between(F.coalesce("session_start", ts), F.coalesce("session_end", ts)), F.lit(0.0)),
     })
 
@@ -136,17 +137,19 @@ def status_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     return df.withColumn("success_ratio", scalars.ratio(F.col("success_count"), F.col("success_count") + F.col("failure_count"), 1.0))
 
 
-def rate_features(df: DataFrame, minute: float = 60, hour: float = 3600) -> DataFrame:
-    df = windows.trailing_count(df, "actions_per_minute", "user_id", minute)
-    return windows.trailing_distinct(df, {"unique_actions_per_hour": "action", "unique_resources_per_hour": "resource"}, "user_id", hour)
+def rate_features(df: DataFrame, minute: float = 60, hour: float = 3600, hot: Hot | None = None) -> DataFrame:
+    df = windows.trailing_count(df, "actions_per_minute", "user_id", minute, hot=hot)
+    return windows.trailing_distinct(df, {"unique_actions_per_hour": "action", "unique_resources_per_hour": "resource"}, "user_id", hour, hot=hot)
 
 
-def session_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def session_features(df: DataFrame, base: DataFrame | None = None, hot: Hot | None = None) -> DataFrame:
     gap = "time_between_actions_in_session"
     valid = F.col("session_id").isNotNull()
     df = with_stats(df, "session_id", ["actions_per_session", "distinct_actions_per_session"], base)
-    df = df.withColumn(gap, F.when(valid, windows.gap_seconds("session_id")).otherwise(0.0))
-    return df.withColumn("average_" + gap, F.avg(gap).over(windows.last_rows("session_id", ROWS)))
+    hot = hot or hot_keys(df, "session_id")
+    df = windows.with_gap(df, gap, "session_id", hot=hot)
+    df = df.withColumn(gap, F.when(valid, F.col(gap)).otherwise(0.0))
+    return windows.with_recent(df, "session_id", ROWS, lambda w: {"average_" + gap: F.avg(gap).over(w)}, hot=hot)
 
 
 def region_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
@@ -168,36 +171,36 @@ def action_entropy(df: DataFrame) -> DataFrame:
     return counts.withColumn("p", p).groupBy("user_id").agg((-F.sum(F.col("p") * F.log2("p"))).alias("action_entropy"))
 
 
-def transitions(df: DataFrame) -> DataFrame:
+def transitions(df: DataFrame, hot: Hot | None = None) -> DataFrame:
     """(user_id, common_transition_prob, unique_transitions) over consecutive actions; 0 and 0 for one action."""
-    following = F.lead("action").over(windows.by("user_id"))
-    pairs = df.select("user_id", "action", following.alias("following")).where("following is not null").groupBy("user_id", "action", "following").count()
+    ordered = windows.with_next(df.select("user_id", "timestamp", "row_id", "action"), "following", "user_id", "action", hot=hot)
+    pairs = ordered.where("following is not null").groupBy("user_id", "action", "following").count()
     found = pairs.groupBy("user_id").agg((F.max("count") / F.sum("count")).alias("common_transition_prob"), F.count(F.lit(1)).alias("unique_transitions"))
     out = df.select("user_id").distinct().join(found, "user_id", "left")
     return out.select("user_id", F.coalesce("common_transition_prob", F.lit(0.0)).alias("common_transition_prob"), F.coalesce("unique_transitions", F.lit(0)).alias("unique_transitions"))
 
 
-def sequence_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def sequence_features(df: DataFrame, base: DataFrame | None = None, hot: Hot | None = None) -> DataFrame:
     base = df if base is None else base
-    return df.join(action_entropy(base), "user_id", "left").join(transitions(base), "user_id", "left")
+    return df.join(action_entropy(base), "user_id", "left").join(transitions(base, hot), "user_id", "left")
 
 
 def resource_diversity(df: DataFrame) -> DataFrame:
     return df.groupBy("user_id").agg((F.countDistinct("resource") / F.count(F.lit(1))).alias("resource_diversity"))
 
 
-def velocity_features(df: DataFrame, sigmas: float = BURST_SIGMAS, rows: int = ROWS) -> DataFrame:
+def velocity_features(df: DataFrame, sigmas: float = BURST_SIGMAS, rows: int = ROWS, hot: Hot | None = None) -> DataFrame:
     """action_velocity, its rolling mean and deviation, is_burst. With 5 rows no value exceeds 1.79 sigmas."""
     gap = F.col("time_between_actions_in_session")
     df = df.withColumn("action_velocity", F.coalesce(F.lit(1.0) / F.nullif(gap, F.lit(0.0)), F.lit(1.0)))
-    recent = windows.last_rows("user_id", rows)
-    df = df.withColumns({"velocity_mean": F.avg("action_velocity").over(recent), "velocity_std": F.coalesce(F.stddev_samp("action_velocity").over(recent), F.lit(0.0))})
+    spread = lambda w: {"velocity_mean": F.avg("action_velocity").over(w), "velocity_std": F.coalesce(F.stddev_samp("action_velocity").over(w), F.lit(0.0))}
+    df = windows.with_recent(df, "user_id", rows, spread, hot=hot)
     high = F.col("action_velocity") > F.col("velocity_mean") + sigmas * F.col("velocity_std")
     return df.withColumn("is_burst", scalars.flag(high & (F.col("velocity_std") > 0)))
 
 
-def advanced_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    return with_stats(velocity_features(df), "user_id", ["resource_diversity"], base)
+def advanced_features(df: DataFrame, base: DataFrame | None = None, hot: Hot | None = None) -> DataFrame:
+    return with_stats(velocity_features(df, hot=hot), "user_id", ["resource_diversity"], base)
 
 
 def temporal_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:

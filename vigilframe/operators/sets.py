@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,7 +66,8 @@ def placed(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """
     part, at = F.spark_partition_id(), Window.partitionBy("__part").orderBy(*order)
     rows = materialize(df.repartitionByRange(*order).withColumn("__part", part).withColumn("__at", F.row_number().over(at)), "placed")
-    sizes = rows.groupBy(F.col("__part").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
-    # One row a partition.
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(F.broadcast(sizes), F.col("__part") == F.col("__of")).withColumn(out, F.col("__before") + F.col("__at")).drop("__part", "__at", "__of", "__n", "__before")
+    # One row a partition comes to the driver and goes back as the number of rows before it.
+    sizes = sorted((r["__part"], r["count"]) for r in rows.groupBy("__part").count().collect())
+    before = accumulate((n for _, n in sizes), initial=0)
+    sizes = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "__of int, __before long")
+    return rows.join(F.broadcast(sizes), F.col("__part") == F.col("__of")).withColumn(out, F.col("__before") + F.col("__at")).drop("__part", "__at", "__of", "__before")

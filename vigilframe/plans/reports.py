@@ -11,6 +11,7 @@ from vigilframe.functions import scalars
 from vigilframe.operators import features as X
 from vigilframe.operators import reports as R
 from vigilframe.operators import sets
+from vigilframe.operators.quantiles import percentiles
 from vigilframe.operators.rules import Thresholds, rule_hits, rules, session_metrics
 from vigilframe.operators.scaling import Scaler
 from vigilframe.plans.features import rounded
@@ -145,7 +146,14 @@ query("a29_profile", lambda e: (lambda p: p.select(*[F.round(c, 6).alias(c) for
       over_events("SELECT " + ", ".join(f"round(avg({c}) FILTER (odd = {k}), 6) AS {label}_{c}" for label, k in (("anomalous", 1), ("baseline", 0)) for c in ("minutes", "n", "ips"))
                   + ", round((SELECT count(DISTINCT ip_address) / count(DISTINCT session_id)::DOUBLE FROM ev WHERE NOT policy_violation), 6) AS baseline_ips_per_session FROM s",
                   "s AS (SELECT session_id, max(policy_violation::INT) AS odd, count(*) AS n, count(DISTINCT ip_address) AS ips, date_diff('microsecond', min(\"timestamp\"), max(\"timestamp\")) / 6e7 AS minutes FROM ev GROUP BY 1)"))
-query("a30_percentile", lambda e: e.agg(*[F.round(F.percentile("session_duration_seconds", p / 100), 6).alias(f"p{p}") for p in (50, 65, 90, 99)]), over_events("SELECT " + ", ".join(f"round(quantile_cont(session_duration_seconds, {p / 100}), 6) AS p{p}" for p in (50, 65, 90, 99)) + " FROM ev"))
+
+
+def _percentiles(e: DataFrame, wanted: tuple[int, ...] = (50, 65, 90, 99)) -> DataFrame:
+    found = percentiles(e, "session_duration_seconds", [p / 100 for p in wanted])
+    return e.sparkSession.createDataFrame([tuple(found)], ", ".join(f"p{p} double" for p in wanted)).select(*[F.round(f"p{p}", 6).alias(f"p{p}") for p in wanted])
+
+
+query("a30_percentile", _percentiles, over_events("SELECT " + ", ".join(f"round(quantile_cont(session_duration_seconds, {p / 100}), 6) AS p{p}" for p in (50, 65, 90, 99)) + " FROM ev"))
 query("a31_histogram", lambda e: R.histogram(e, "session_duration_seconds", 50).select(F.col("bin").cast("long").alias("bin"), "n"), over_events("SELECT least(floor((v - lo) / (hi - lo) * 50) + 1, 50)::BIGINT AS bin, count(*) AS n FROM (SELECT session_duration_seconds AS v, min(session_duration_seconds) OVER () AS lo, max(session_duration_seconds) OVER () AS hi FROM ev) GROUP BY 1"))
 
 
