@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.llm.common import discard, materialize
+from vigilframe.llm import common
+from vigilframe.llm.common import discard
 
 #: Starts that are hashed at once, rows that are sent at once, and parts into which a range of starts is cut: bounds on memory and rounds.
 BLOCK, ROWS, PARTS = 1 << 18, 20_000, 8
@@ -39,6 +40,11 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary"
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _written(df: DataFrame, tag: str) -> DataFrame:
+    """Each round writes small tables in many files; their compressors would take more memory than they save disk."""
+    return common.materialize(df, f"suffix-{tag}", compression="uncompressed")
+
+
 def _batch(ddl: str, columns: list) -> pa.RecordBatch:
     fields = [f.split(" ") for f in ddl.split(", ")]
     schema = pa.schema([(name, _ARROW[kind]) for name, kind in fields])
@@ -166,18 +172,21 @@ def _rerank(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     differ = (F.min("x") != F.max("x")) | (F.min("y") != F.max("y"))
     repeated = nodes.groupBy(*pair).agg(F.count(F.lit(1)).alias("n"), differ.alias("mixed")).where("n > 1")
     # New ranks follow the order of the pairs. Written, so that ranks don't change and a common pair can be split in the join.
-    ranks = materialize(repeated.orderBy(*pair).select(*pair, F.monotonically_increasing_id().alias("new"), "mixed"), "suffix-ranks")
-    kept = materialize(nodes.join(ranks, pair).withColumn("place", F.xxhash64("kid", "row", "at")).drop(*[c for c in pair if c != "lo"]).withColumnRenamed("new", "rank"), "suffix-kept")
+    ranks = _written(repeated.orderBy(*pair).select(*pair, F.monotonically_increasing_id().alias("new"), "mixed"), "ranks")
+    kept = _written(nodes.join(ranks, pair).withColumn("place", F.xxhash64("kid", "row", "at")).drop(*[c for c in pair if c != "lo"]).withColumnRenamed("new", "rank"), "kept")
     same = ["rank", "x", "y"]
     groups = kept.where("mixed").groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("one"), F.max("certain").alias("known"))
-    groups = materialize(groups.withColumn("known", F.col("known") | (F.col("n") > 1)), "suffix-groups")
-    growing = groups.groupBy("rank").agg(F.min("known").alias("settled"))
-    groups = materialize(groups.join(growing, "rank"), "suffix-outers")
-    mixed = kept.where("mixed").join(groups, same)
+    groups = _written(groups.withColumn("known", F.col("known") | (F.col("n") > 1)), "groups")
+    # Written too, so that a rank with very many outers can be split in the join.
+    growing = _written(groups.groupBy("rank").agg(F.min("known").alias("settled")), "growing")
+    outers = _written(groups.join(growing, "rank"), "outers")
+    mixed = kept.where("mixed").join(outers, same)
     outer = F.struct("kid", "row", F.greatest(F.col("at") - F.col("hi"), "first").alias("start"), F.least(F.col("at") - F.col("lo"), "last").alias("end"))
     marks = kept.where("not mixed and not certain").select(outer.alias("m")).unionByName(mixed.where("n > 1 and not certain").select(outer.alias("m"))).select("m.*")
     rest = mixed.where("not settled and place = one and lo < hi").select("kid", "row", "at", "first", "last", "lo", "hi", "rank", F.col("known").alias("certain"))
-    return materialize(marks, "suffix-marks"), materialize(rest, "suffix-open")
+    marks, rest = _written(marks, "marks"), _written(rest, "open")
+    discard(ranks, kept, groups, growing, outers)
+    return marks, rest
 
 
 def repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +205,7 @@ def repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
         raise ValueError("a length from 4 to 524,288 bytes")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("kid"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"), text.cast("binary").alias("text"))
-    nodes, contexts, all_marks = materialize(_positions(keyed, length), "suffix-positions"), None, []
+    nodes, contexts, all_marks = _written(_positions(keyed, length), "positions"), None, []
     width = length - length // 2 + 1
     while True:
         marks, open_ = _rerank(nodes)
@@ -205,9 +214,9 @@ def repeated_strings(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
         if width == 1 or open_.isEmpty():
             break
         if contexts is None:
-            contexts = materialize(_contexts(keyed, open_, length), "suffix-contexts")
+            contexts = _written(_contexts(keyed, open_, length), "contexts")
         width = -(-width // PARTS)
-        nodes = materialize(_grown(open_, contexts, length, width), "suffix-nodes")
+        nodes = _written(_grown(open_, contexts, length, width), "nodes")
     if contexts is not None:
         discard(contexts)
     marked = all_marks[0]
