@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -454,6 +455,48 @@ def test_rollup_of_two_writers(spark, make_docs, tmp_path, monkeypatch):
     assert [(x.documents, x.tokens) for x in one.totals().collect()] == [(-1, -3)]
 
 
+class _Killed(Exception):
+    pass
+
+
+def _dies(*_):
+    raise _Killed
+
+
+def test_rollup_recovers_from_writers_that_die(spark, make_docs, tmp_path, monkeypatch):
+    """A writer that ends before its record has its name leaves nothing behind; the batch, or the fold, is done again."""
+    docs, count = make_docs([(1, "a b c", "x")]), {("words", "1"): common.word_count(F.col("text"))}
+    new = lambda: TokenRollup(spark, f"file://{tmp_path}/r")
+    total = lambda: [(x.documents, x.tokens) for x in new().totals().collect()]
+    dying = new()
+    monkeypatch.setattr(dying, "_publish", _dies)
+    with pytest.raises(_Killed):
+        dying.commit("b", inserts(counted(docs, count)))
+    assert total() == []
+    assert new().commit("b", inserts(counted(docs, count))) and total() == [(1, 3)]
+    with pytest.raises(_Killed):
+        dying.fold()
+    assert total() == [(1, 3)] and new().fold() and total() == [(1, 3)] and not new().fold()
+    # One that dies while it writes its record, before it has a name.
+    monkeypatch.setattr(json, "dumps", _dies)
+    with pytest.raises(_Killed):
+        new().commit("c", inserts(counted(docs, count)))
+    monkeypatch.undo()
+    assert new().commit("c", inserts(counted(docs, count))) and total() == [(2, 6)]
+    assert not new().commit("c", inserts(counted(docs, count))) and total() == [(2, 6)]
+    # A name that is taken stays as it is.
+    assert not new()._create("pointers/p000000000001.json", {"number": 1, "snapshot": "other"}) and total() == [(2, 6)]
+
+
+def test_rollup_folds_by_itself(spark, make_docs, tmp_path):
+    docs, count = make_docs([(1, "a b c", "x")]), {("words", "1"): common.word_count(F.col("text"))}
+    r = TokenRollup(spark, f"file://{tmp_path}/r", fold_every=3)
+    for k in range(7):
+        assert r.commit(f"b{k}", inserts(counted(docs, count)))
+        assert r._unfolded(r._snapshot()[1]).count() == (k + 1) % 3
+    assert [(x.documents, x.tokens) for x in r.totals().collect()] == [(7, 21)] and r._snapshot()[0] == 2
+
+
 def test_token_rollup_against_the_tokenizer(spark, sf_dir, documents, tokenizer):
     want: Counter = Counter()
     for r in documents.collect():
