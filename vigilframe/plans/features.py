@@ -185,10 +185,10 @@ query(
 )
 query(
     "w13_global_sequences",
-    lambda e: windows.sequences(X.time_features(e), ["hour", "day_of_week", "time_since_last_access"], 10, key=None).select("row_id", F.size("sequence").cast("long").alias("steps"), F.round(F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda s, x: s + x), 3).alias("total"), F.get("sequence", F.lit(0))[0].alias("first_hour")),
-    over_events("""SELECT row_id, CASE WHEN n = 10 THEN n END AS steps, CASE WHEN n = 10 THEN round(total, 3) END AS total, CASE WHEN n = 10 THEN h END::DOUBLE AS first_hour
+    lambda e: windows.sequences(X.time_features(e), ["hour", "day_of_week", "time_since_last_access"], 10, key=None).where("sequence is not null").select("row_id", F.size("sequence").cast("long").alias("steps"), F.round(F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda s, x: s + x), 3).alias("total"), F.get("sequence", F.lit(0))[0].alias("first_hour")),
+    over_events("""SELECT row_id, n AS steps, round(total, 3) AS total, h::DOUBLE AS first_hour
         FROM (SELECT row_id, count(*) OVER w AS n, (sum(hour("timestamp") + isodow("timestamp") - 1 + gap) OVER w)::DOUBLE AS total, first_value(hour("timestamp")) OVER w AS h FROM since
-        WINDOW w AS (ORDER BY "timestamp", row_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))""",
+        WINDOW w AS (ORDER BY "timestamp", row_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE n = 10""",
         f"since AS (SELECT *, coalesce(date_diff('microsecond', lag(\"timestamp\") OVER ({WU}), \"timestamp\") / 1e6, 0) AS gap FROM ev)"),
 )
 query(
