@@ -105,21 +105,61 @@ def test_lines_tables(documents, make_docs):
     assert line_dedup.line_dedup(make_docs([])).count() == 0
 
 
+def pieces_of(lines):
+    """(first, lines as a tuple): pairs of neighbouring lines that aren't both blank, and long lines."""
+    out = [(k, tuple(lines[k : k + 2])) for k in range(len(lines) - 1) if any(x.strip(" ") for x in lines[k : k + 2])]
+    return out + [(k, (x,)) for k, x in enumerate(lines) if len(x.split()) > line_dedup.LONG_LINE]
+
+
 def passages_brute(rows):
-    """Each line goes that lies in a pair of lines, or is a long line, that an earlier place has."""
-    seen, out = {}, []
-    places = []
-    for i, t in sorted(rows):
-        lines = t.split("\n")
-        pieces = [(k, tuple(lines[k : k + 2])) for k in range(len(lines) - 1) if any(x.strip(" ") for x in lines[k : k + 2])]
-        pieces += [(k, (x,)) for k, x in enumerate(lines) if len(x.split()) > line_dedup.LONG_LINE]
-        places.append((i, lines, pieces))
-        for k, p in pieces:
-            seen[p] = min(seen.get(p, (i, k)), (i, k))
-    for i, lines, pieces in places:
-        gone = {n for k, p in pieces if seen[p] < (i, k) for n in range(k, k + len(p))}
-        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
-    return out
+    """A piece goes if an earlier place has it whose own lines no later piece holds; n lines that stay."""
+    texts = [(i, t.split("\n")) for i, t in sorted(rows)]
+    first = {}
+    for n, (_, lines) in enumerate(texts):
+        for k, p in pieces_of(lines):
+            first[p] = min(first.get(p, (n, k)), (n, k))
+    later = [(n, k, p) for n, (_, lines) in enumerate(texts) for k, p in pieces_of(lines) if first[p] != (n, k) and not (first[p][0] == n and k < first[p][1] + len(p))]
+    may_go = {(n, k + j) for n, k, p in later for j in range(len(p))}
+    gone = {(n, k + j) for n, k, p in later if not any((first[p][0], first[p][1] + j) in may_go for j in range(len(p))) for j in range(len(p))}
+    return [(i, "\n".join(x for k, x in enumerate(lines) if (n, k) not in gone), sum((n, k) in gone for k in range(len(lines)))) for n, (i, lines) in enumerate(texts)]
+
+
+def assert_nothing_is_lost(rows, got):
+    """Whatever is removed stands whole in some result: each line that is gone lies in a pair, or is a long line, that does."""
+    standing = {p for t in got.values() for _, p in pieces_of(t.split("\n"))}
+    for i, t in rows:
+        before, after = t.split("\n"), got[i].split("\n") if got[i] or not t else []
+        # What stays is a subsequence; lines that may have gone are those outside some way to find it.
+        taken, k = [], 0
+        for x in before:
+            taken.append(k < len(after) and after[k] == x)
+            k += taken[-1]
+        assert k == len(after)
+        for n, stays in enumerate(taken):
+            assert stays or any(a <= n < a + len(p) and p in standing for a, p in pieces_of(before)), (i, before[n])
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_overlapping_passages_stay_somewhere(make_docs, bits):
+    """Chains of passages that overlap, and repeats inside a text."""
+    rows = [(1, "aa\nbb"), (5, "aa\nbb\ncc"), (9, "bb\ncc"), (11, "x x\nx x\nx x"), (12, "\n".join(["y"] * 40)), (13, "y\ny\nz")]
+    rng = random.Random(2)
+    rows += [(100 + i, "\n".join(rng.choice("pqrst") for _ in range(rng.randrange(2, 9)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(make_docs(rows), min_lines=1, key_bits=bits, pieces=line_dedup.passages_of).collect()}
+    assert sorted(got.items()) == [(i, t) for i, t, _ in passages_brute(rows)]
+    assert_nothing_is_lost(rows, got)
+    assert got[1] == "aa\nbb" and got[5] == "cc" and got[9] == "bb\ncc" and got[12] == "y\ny" and got[13] == "z"
+
+
+def test_documents_lose_no_passage(documents):
+    rows = [(r.doc_id, r.text or "") for r in documents.collect()]
+    got = {r.doc_id: r.text or "" for r in line_dedup.line_dedup(documents, min_lines=1, pieces=line_dedup.passages_of).collect()}
+    assert_nothing_is_lost(rows, got)
+
+
+def test_clashing_names_raise(make_docs):
+    with pytest.raises(ValueError):
+        line_dedup.line_dedup(make_docs([(1, "a")]).withColumn("__line_x", F.lit(1)))
 
 
 @pytest.mark.parametrize("bits", [64, 3])
