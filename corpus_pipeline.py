@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilframe.llm import quality
-from vigilframe.llm.common import held_out, materialize, table
+from vigilframe.llm.common import discard, held_out, materialize, table
 from vigilframe.llm.line_dedup import line_dedup, passages_of
 from vigilframe.llm.mixing import mixed_documents
 from vigilframe.llm.packing import pack_documents
@@ -73,9 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
