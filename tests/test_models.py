@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from vigilframe.models.ensemble import HybridDetector, Parameters
+from vigilframe.models.recurrent import Training
+from vigilframe.models.stages import HybridEstimator
+from vigilframe.operators import features as X
+from vigilframe.models import forest as forest_module
+from vigilframe.models.forest import RandomForest
 from vigilframe.models.isolation import IsolationForest
 from vigilframe.operators import quantiles
 from vigilframe.operators.scaling import Scaler
@@ -16,7 +24,7 @@ from vigilframe.sources.events import from_events
 from vigilframe.sources.synthetic import Generator
 from vigilframe.streaming.micro_batch import for_each_batch, stream_raw, windowed_counts
 
-SMALL = Parameters(contamination=0.2, n_trees=30, forest_trees=10, forest_depth=6, sequence_length=4, components=3)
+SMALL = Parameters(contamination=0.2, n_trees=30, forest_trees=10, forest_depth=6, sequence_length=4, components=3, training=Training(units=8, epochs=3, batch=256))
 
 
 @pytest.fixture(scope="module")
@@ -37,10 +45,16 @@ def test_isolation_forest(spark, points):
     assert IsolationForest.from_json(forest.to_json()).trees == forest.trees
 
 
-def test_hybrid(spark, points, tmp_path):
+@pytest.mark.parametrize("kind", ["recurrent", "pca"])
+def test_hybrid(spark, points, tmp_path, kind):
+    settings = replace(SMALL, sequence_model=kind)
+    with pytest.raises(ValueError):
+        HybridDetector(settings).predict(points)
     with pytest.raises(ValueError):
-        HybridDetector(SMALL).predict(points)
-    model = HybridDetector(SMALL).fit(points, ["a", "b", "c"])
+        HybridDetector(replace(SMALL, sequence_model="other"))
+    steps = []
+    model = HybridDetector(settings, steps.append).fit(points, ["a", "b", "c"])
+    assert [s for s in steps if "epoch" not in s] == ["scale", "isolation forest", "sequences", "random forest"]
     out = model.predict(points).orderBy("row_id").toPandas()
     assert len(out) == 500 and set(out["is_anomaly_predicted"]) <= {0, 1}
     assert abs(out["is_anomaly_predicted"].mean() - 0.2) < 0.1
@@ -53,18 +67,56 @@ def test_hybrid(spark, points, tmp_path):
     assert loaded["is_anomaly_predicted"].equals(out["is_anomaly_predicted"])
 
 
-def test_pipeline_gives_all_fixed_features(spark):
+def test_windows_follow_the_global_order(spark, points):
+    model = HybridDetector(SMALL)
+    model.columns, model.extra, model.scaler = ["a", "b"], None, Scaler({"a": 0.0, "b": 0.0}, {"a": 1.0, "b": 1.0})
+    got = {r.row_id: r["__flat"] for r in model._windows(points).collect()}
+    rows = {r.row_id: (r.a, r.b) for r in points.collect()}
+    assert got[2] is None and all(got[i] == [v for k in range(i - 3, i + 1) for v in rows[k]] for i in range(3, 500))
+
+
+def test_detector_with_extra_features_in_a_pipeline(spark, points, tmp_path):
+    more = F.when(F.col("row_id") % 50 == 0, F.array(F.struct(F.lit(77).alias("i"), F.lit(9.0).alias("v")))).otherwise(F.array(F.struct((3 + F.col("row_id") % 4).cast("int").alias("i"), F.lit(1.0).alias("v"))))
+    df = points.withColumn("more", more)
+    stage = HybridEstimator(inputCols=["a", "b", "c"], extraCol="more", contamination=0.1, n_trees=30, forest_trees=10, sequence_length=4, units=8, epochs=2)
+    stage.write().overwrite().save(f"file://{tmp_path}/stage")
+    assert HybridEstimator.load(f"file://{tmp_path}/stage").parameters() == stage.parameters()
+    model = Pipeline(stages=[stage]).fit(df)
+    out = model.transform(df).select("row_id", "anomaly_score", "is_anomaly_predicted").orderBy("row_id").toPandas()
+    assert out.loc[out["row_id"] % 50 == 0, "is_anomaly_predicted"].mean() > 0.8
+    model.write().overwrite().save(f"file://{tmp_path}/pipeline")
+    loaded = PipelineModel.load(f"file://{tmp_path}/pipeline")
+    assert loaded.stages[0].parameters() == stage.parameters() and loaded.stages[0].uid == model.stages[0].uid
+    again = loaded.transform(df).select("row_id", "anomaly_score", "is_anomaly_predicted").orderBy("row_id").toPandas()
+    assert again.equals(out)
+    assert set(loaded.stages[0].detector.importances()) <= {*range(7), 77}
+
+
+def test_pipeline_gives_all_features(spark):
     events = Generator(n_users=10).dataset(spark, 120).persist()
+    odd = F.when(F.col("row_id") % 2 == 0, "a b").otherwise(F.when(F.col("row_id") % 3 == 0, "a.b").otherwise(F.col("role")))
     steps = []
-    x = extract(events, steps.append, v6=False).persist()
-    encoder = Encoder.fit(x, cap=10)
+    x = extract(events.withColumn("role", odd), steps.append, v6=False).persist()
+    encoder = Encoder.fit(x)
     f = encoder.transform(x).toPandas()
     assert len(FIXED_FEATURES) == 48 and len(f) == 120 and "privileged" in steps
-    assert set(FIXED_FEATURES) <= set(f.columns) and not f[encoder.columns].isna().any().any()
-    assert Encoder.from_json(encoder.to_json()).columns == encoder.columns
+    assert not f[list(FIXED_FEATURES)].isna().any().any()
+    names = encoder.names(sorted({e["i"] for row in f["extra"] for e in row}))
+    assert {"role_a b", "role_a.b"} <= set(names.values())  # values that differ in a sign are two features
+    rows, number = {r["row_id"]: r for r in x.collect()}, {n: i for i, n in names.items()}
+    for row in f.itertuples():
+        have, source = {e["i"]: e["v"] for e in row.extra}, rows[row.row_id]
+        assert have[number[f"role_{source['role']}"]] == 1.0
+        assert have[number[f"action_{source['action']}_count"]] == sum(r["user_id"] == source["user_id"] and r["action"] == source["action"] for r in rows.values())
     x.unpersist()
 
 
+def test_counts_of_values_take_one_scan(spark, sf_dir):
+    base = from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    plan = X.value_counts(base, {n: c() for n, c in X.COUNTED.items()})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_percentiles_by_radix_selection(spark):
     rng = np.random.default_rng(1)
     tiny, huge = 5e-324, 1.7e308
@@ -111,3 +163,57 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q = windowed_counts(stream_raw(spark, sf_dir)).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/w").start()
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("events")).first()[0] == len(seen)
+
+
+def _marked(spark, n=600):
+    """Rows of which an extra feature, or a sum of two dense ones, makes the label."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(n, 3)), []
+    rows = []
+    for i in range(n):
+        more = [(3 + int(k), float(rng.integers(1, 5))) for k in rng.choice(40, 3, replace=False)]
+        y.append(int(any(f == 7 for f, _ in more) or x[i, 0] > 1.2))
+        rows.append((i, *map(float, x[i]), more, y[-1]))
+    return spark.createDataFrame(rows, "row_id long, a double, b double, c double, more array<struct<i:int,v:double>>, y int").persist()
+
+
+def test_random_forest(spark):
+    df = _marked(spark)
+    forest = RandomForest.fit(df, ["a", "b", "c"], F.col("y"), extra="more", n_trees=30)
+    again = RandomForest.fit(df.repartition(5), ["a", "b", "c"], F.col("y"), extra="more", n_trees=30)
+    assert forest.trees == again.trees and forest.importances == again.importances
+    got = forest.score(df, "p", extra="more").select("y", "p").toPandas()
+    assert ((got["p"] > 0.5) == (got["y"] == 1)).mean() > 0.97
+    top = sorted(forest.importances, key=forest.importances.get, reverse=True)[:2]
+    assert set(top) == {0, 7} and abs(sum(forest.importances.values()) - 1) < 1e-9
+    loaded = RandomForest.from_json(forest.to_json())
+    assert loaded.trees == forest.trees and loaded.importances == forest.importances
+    # No node of fewer rows than min_split is split, and depth is bounded.
+    assert max(len(t) for t in RandomForest.fit(df, ["a"], F.col("y"), n_trees=3, depth=2).trees) <= 7
+    assert all(len(t) == 1 for t in RandomForest.fit(df, ["a"], F.col("y"), n_trees=3, min_split=10_000).trees)
+    with pytest.raises(ValueError):
+        RandomForest.fit(df.where("y = 1"), ["a"], F.col("y"))
+
+
+def test_grown_tree_separates_its_rows():
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 6, (300, 4)).astype(float), rng.integers(0, 2, 300)
+    rows = forest_module.Rows.from_lists(x.tolist(), [[]] * 300)
+    ones = np.ones(300)
+    nodes, removed = forest_module.grow(rows, y, ones, ones, np.random.default_rng(0), 40, 2)
+    share = forest_module.leaves(x, np.array(nodes, float), {f: f for f in range(4)})
+    for v in {tuple(r) for r in x.tolist()}:
+        same = (x == v).all(axis=1)
+        assert share[same] == pytest.approx(y[same].mean())
+    # What all cuts remove is the root's impurity less that of the leaves.
+    start = 2 * y.sum() * (1 - y.mean())
+    assert sum(removed.values()) == pytest.approx(start - (2 * share * (1 - share)).sum())
+
+
+def test_isolation_forest_with_extra_features(spark):
+    rows = [(i, float(i % 7), [(1, 1.0)] if i % 100 else [(1, 1.0), (9, 50.0)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_id long, a double, more array<struct<i:int,v:double>>")
+    model = IsolationForest.fit(df, ["a"], n_trees=60, extra="more")
+    s = model.score(df, extra="more").select("row_id", "anomaly_score").toPandas()
+    assert set(s.nlargest(5, "anomaly_score")["row_id"]) == set(range(0, 500, 100))
+    assert IsolationForest.fit(df, ["a"], n_trees=5).score(df.limit(0)).count() == 0

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.functions import network, scalars
 from vigilframe.operators import windows
+from vigilframe.operators.sets import placed
 from vigilframe.operators.slices import Hot, hot_keys
 from vigilframe.schema import SENTINELS
 
@@ -80,10 +81,22 @@ def time_features(df: DataFrame, hot: Hot | None = None) -> DataFrame:
     })
 
 
-def value_frequency(df: DataFrame, out: str, column: str, base: DataFrame | None = None) -> DataFrame:
+def value_counts(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(column, value, n): how often each value of each column occurs, from one scan."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("column"), c.cast("string").alias("value")) for name, c in columns.items()]))
+    return df.select(each.alias("x")).groupBy(F.col("x.column").alias("column"), F.col("x.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counts_of(df: DataFrame, column: str, counts: DataFrame | None) -> DataFrame:
+    """(value, n) of one column, from counts where they are given."""
+    counts = value_counts(df, {column: F.col(column)}) if counts is None else counts.where(F.col("column") == column)
+    return counts.select("value", "n")
+
+
+def value_frequency(df: DataFrame, out: str, column: str, base: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """How often the row's value occurs in the table: counted first, so a hot value costs no task of its own."""
-    counts = (df if base is None else base).groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias(out))
-    return df.join(counts, F.col(column).eqNullSafe(F.col("__value")), "left").drop("__value")
+    found = _counts_of(df if base is None else base, column, counts).withColumnsRenamed({"value": "__value", "n": out})
+    return df.join(found, F.col(column).cast("string").eqNullSafe(F.col("__value")), "left").drop("__value")
 
 
 def distinct_per(df: DataFrame, key: str, columns: dict[str, str], base: DataFrame | None = None) -> DataFrame:
@@ -93,21 +106,25 @@ def distinct_per(df: DataFrame, key: str, columns: dict[str, str], base: DataFra
     return out.withColumns({n: F.coalesce(n, F.lit(0)) for n in columns})
 
 
-def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
+def top_values(df: DataFrame, column: str, n: int, counts: DataFrame | None = None) -> DataFrame:
     """(value, count): the n most frequent values, ties by value."""
-    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).count().orderBy(F.desc("count"), "value").limit(n)
+    return _counts_of(df, column, counts).where("value is not null").withColumnRenamed("n", "count").orderBy(F.desc("count"), "value").limit(n)
 
 
-def bucket_top(df: DataFrame, out: str, column: str, n: int, other: str, base: DataFrame | None = None) -> DataFrame:
+def bucket_top(df: DataFrame, out: str, column: str, n: int, other: str, base: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """The value if it is among the n most frequent, else `other`."""
-    top = top_values(df if base is None else base, column, n).select(F.col("value").alias("__top"))
+    top = top_values(df if base is None else base, column, n, counts).select(F.col("value").alias("__top"))
     return df.join(F.broadcast(top), F.col(column) == F.col("__top"), "left").withColumn(out, F.coalesce("__top", F.lit(other))).drop("__top")
 
 
-def ip_features(df: DataFrame, v6: bool = True, base: DataFrame | None = None) -> DataFrame:
+#: The columns that extractors count the values of.
+COUNTED = {c: (lambda c=c: F.col(c)) for c in ("ip_address", "region", "user_agent", "privileged_account_used", "vault_name")} | {"__pair": lambda: pair_name()}
+
+
+def ip_features(df: DataFrame, v6: bool = True, base: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     df = df.withColumn("is_private_ip", network.is_private_ip(F.col("ip_address"), v6))
-    df = value_frequency(df, "ip_frequency", "ip_address", base)
-    df = bucket_top(df, "top_ip", "ip_address", 20, "other_ip", base)
+    df = value_frequency(df, "ip_frequency", "ip_address", base, counts)
+    df = bucket_top(df, "top_ip", "ip_address", 20, "other_ip", base, counts)
     return with_stats(df, "session_id", ["ip_changes_in_session"], base)
 
 
@@ -120,16 +137,18 @@ def count_pivot(df: DataFrame, key: str, column: str, values: Sequence[str], nam
     return out.select(key, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(name.format(v)) for v in values])
 
 
-def vocabularies(df: DataFrame, columns: Sequence[str], cap: int = 100) -> dict[str, list[str]]:
-    """The distinct values of each column, most frequent first up to cap, then sorted: what pivots and one-hots are fitted on.
+def value_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n, number): all values of the columns, numbered from 0, by column, the frequent ones first."""
+    at = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
+    counts = value_counts(df, {c: F.col(f"`{c}`") for c in columns}).where("value is not null")
+    numbered = placed(counts.withColumns({"__at": at, "__less": -F.col("n")}), ["__at", "__less", "value"], "number")
+    return numbered.select("column", "value", "n", (F.col("number") - 1).alias("number"))
+
 
-    One pass counts the values of all columns; cap values a column come to the driver.
-    """
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
-    counts = df.select(each.alias("x")).select("x.*").where("value is not null").groupBy("column", "value").count()
-    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "value"))
-    found = counts.withColumn("place", place).where(F.col("place") <= cap).select("column", "value").collect() if columns else []
-    return {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
+def user_value_counts(df: DataFrame, columns: Sequence[str], key: str = "user_id") -> DataFrame:
+    """(key, column, value, n): how often each key has each value, for all values there are."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]))
+    return df.select(key, each.alias("x")).select(key, "x.*").where("value is not null").groupBy(key, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def status_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
@@ -152,14 +171,14 @@ def session_features(df: DataFrame, base: DataFrame | None = None, hot: Hot | No
     return windows.with_recent(df, "session_id", ROWS, lambda w: {"average_" + gap: F.avg(gap).over(w)}, hot=hot)
 
 
-def region_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    df = bucket_top(value_frequency(df, "region_frequency", "region", base), "top_region", "region", 5, "other_region", base)
+def region_features(df: DataFrame, base: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    df = bucket_top(value_frequency(df, "region_frequency", "region", base, counts), "top_region", "region", 5, "other_region", base, counts)
     return with_stats(df, "session_id", ["region_changes_in_session"], base)
 
 
-def agent_features(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    df = value_frequency(df, "user_agent_frequency", "user_agent", base)
-    df = bucket_top(df, "top_user_agent", "user_agent", 5, "other_user_agent", base)
+def agent_features(df: DataFrame, base: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    df = value_frequency(df, "user_agent_frequency", "user_agent", base, counts)
+    df = bucket_top(df, "top_user_agent", "user_agent", 5, "other_user_agent", base, counts)
     df = df.withColumns({"os": scalars.operating_system(F.col("user_agent")), "browser": scalars.browser(F.col("user_agent"))})
     return with_stats(df, "session_id", ["user_agent_changes_in_session"], base)
 
@@ -225,7 +244,7 @@ def privileged_defaults(df: DataFrame) -> DataFrame:
     return df
 
 
-def privileged_features(df: DataFrame, sigmas: float = 3.0, base: DataFrame | None = None) -> DataFrame:
+def privileged_features(df: DataFrame, sigmas: float = 3.0, base: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     priv = F.col("is_privileged_session")
     df = with_stats(df, "user_id", ["priv_duration_min", "priv_duration_max", "priv_duration_mean", "priv_duration_std", "policy_violation_count", "total_actions_count"], base)
     mean, std, length = F.col("priv_duration_mean"), F.col("priv_duration_std"), F.col("session_duration_seconds")
@@ -235,15 +254,18 @@ def privileged_features(df: DataFrame, sigmas: float = 3.0, base: DataFrame | No
         "missing_reason": scalars.flag(priv & F.col("reason_for_access").isNull()), "missing_ticket": scalars.flag(priv & F.col("ticket_id").isNull()),
     })
     df = df.withColumn("policy_violation_ratio", scalars.ratio(F.col("policy_violation_count"), F.col("total_actions_count"), 0.0))
-    df = bucket_top(df, "top_priv_account", "privileged_account_used", 10, "other_priv_account", base)
-    return bucket_top(df, "top_vault", "vault_name", 5, "other_vault", base)
+    df = bucket_top(df, "top_priv_account", "privileged_account_used", 10, "other_priv_account", base, counts)
+    return bucket_top(df, "top_vault", "vault_name", 5, "other_vault", base, counts)
+
+
+def pair_name() -> Column:
+    return F.concat_ws("_", filled("action"), filled("resource"))
 
 
-def pair_bucket(df: DataFrame, n: int = 20, base: DataFrame | None = None) -> DataFrame:
+def pair_bucket(df: DataFrame, n: int = 20, base: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """`pair`: action and resource, the n most frequent by name and the others together."""
-    name = F.concat_ws("_", filled("action"), filled("resource"))
-    base = (df if base is None else base).withColumn("__pair", name)
-    return bucket_top(df.withColumn("__pair", name), "pair", "__pair", n, "other_pair", base).drop("__pair")
+    base = (df if base is None else base).withColumn("__pair", pair_name())
+    return bucket_top(df.withColumn("__pair", pair_name()), "pair", "__pair", n, "other_pair", base, counts).drop("__pair")
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str], drop: bool = True) -> DataFrame:

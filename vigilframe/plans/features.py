@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from vigilframe.functions import network, scalars
 from vigilframe.operators import features as X
 from vigilframe.operators import windows
-from vigilframe.plans.pipeline import Encoder, extract
+from vigilframe.functions.scalars import numeric
+from vigilframe.plans.pipeline import CATEGORIES, PIVOTS, extract
 from vigilframe.plans.twins import WS, WU, over_events
 from vigilframe.schema import FIXED_FEATURES
 from vigilframe.sources.events import read_events
@@ -305,7 +306,36 @@ FRAME = {
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 48 fixed features of every event, from the whole chain and the encoder."""
     x = extract(read_events(spark, sf_dir), v6=False)
-    return Encoder().transform(x).select("row_id", *[(F.round(c, 6) + 0.0).alias(c) for c in FIXED_FEATURES])
+    return x.select("row_id", *[(F.round(numeric(F.col(c)), 6) + 0.0).alias(c) for c in FIXED_FEATURES])
+
+
+def _extracted_values(e: DataFrame) -> DataFrame:
+    """The columns that the encoder counts, by the operators that make them."""
+    return X.agent_features(X.region_features(X.ip_features(X.privileged_features(X.pair_bucket(e, base=e), base=e), False, e), e), e)
+
+
+#: The same in SQL, from the events and the most frequent values.
+def _top_sql(column: str, n: int, other: str) -> str:
+    return f"CASE WHEN {column} IN (SELECT {column} FROM ev GROUP BY 1 ORDER BY count(*) DESC, {column} LIMIT {n}) THEN {column} ELSE '{other}' END"
+
+
+VALUES = f"""vals AS (SELECT user_id, unnest([{', '.join(repr(c) for c in (*PIVOTS, *CATEGORIES))}]) AS "column",
+    unnest([action, resource, {_top_sql("action || '_' || resource", 20, "other_pair")}, privileged_account_used, vault_name, role, {_top_sql("ip_address", 20, "other_ip")}, {_top_sql("region", 5, "other_region")},
+     {_top_sql("user_agent", 5, "other_user_agent")}, CASE WHEN user_agent LIKE '%Windows%' THEN 'Windows' WHEN user_agent LIKE '%Macintosh%' THEN 'Mac' WHEN user_agent LIKE '%Linux%' THEN 'Linux' ELSE 'OtherOS' END,
+     CASE WHEN user_agent LIKE '%Chrome%' THEN 'Chrome' WHEN user_agent LIKE '%Firefox%' THEN 'Firefox' WHEN user_agent LIKE '%Safari%' THEN 'Safari' ELSE 'OtherBrowser' END,
+     {_top_sql("privileged_account_used", 10, "other_priv_account")}, {_top_sql("vault_name", 5, "other_vault")}]) AS value FROM ev)"""
+query(
+    "a2_a6_user_value_counts",
+    lambda e: X.user_value_counts(_extracted_values(e), list(PIVOTS)),
+    over_events(f"SELECT user_id, \"column\", value, count(*) AS n FROM vals WHERE \"column\" IN ({', '.join(repr(c) for c in PIVOTS)}) GROUP BY ALL", VALUES),
+)
+query(
+    "f20_value_dictionary",
+    lambda e: X.value_dictionary(_extracted_values(e), [*PIVOTS, *CATEGORIES]),
+    over_events(
+        f"SELECT \"column\", value, n, row_number() OVER (ORDER BY list_position([{', '.join(repr(c) for c in (*PIVOTS, *CATEGORIES))}], \"column\"), n DESC, value) - 1 AS number FROM (SELECT \"column\", value, count(*) AS n FROM vals GROUP BY ALL)", VALUES,
+    ),
+)
 
 
 def _frame_sql() -> str:

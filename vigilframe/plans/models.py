@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilframe.models.ensemble import HybridDetector, Parameters
+from vigilframe.models.ensemble import HybridDetector
 from vigilframe.models.isolation import IsolationForest, threshold
+from vigilframe.models.stages import HybridEstimator
 from vigilframe.operators import sets
 from vigilframe.operators.rules import rule_hits, session_metrics
 from vigilframe.operators.scaling import Scaler
@@ -22,45 +24,65 @@ from vigilframe.sources.events import read_events
 from vigilframe.sources.synthetic import Generator
 from vigilframe.streaming.micro_batch import score_batches, stream_raw
 
-#: The registered hybrid queries take the 48 fixed features and shallower forests and windows: with all defaults they ran beyond 150 s at sf0.01.
-DEFAULTS = Parameters(contamination=0.1, forest_trees=40, forest_depth=10, sequence_length=4)
+#: All defaults but the share of rows above a threshold.
+DEFAULTS = {"inputCols": list(FIXED_FEATURES), "extraCol": "extra", "contamination": 0.1}
+_fitted: dict[tuple[str, str], str] = {}
 
 
-def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """The whole feature frame, fixed and encoded columns, and the names of the features."""
+def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Encoder]:
+    """The whole feature frame: fixed features, and extra ones for all values there are."""
     extracted = materialize(extract(read_events(spark, sf_dir), v6=False), "features")
     encoder = Encoder.fit(extracted)
-    return materialize(encoder.transform(extracted), "encoded"), encoder.columns
+    return materialize(encoder.transform(extracted), "encoded"), encoder
 
 
 def m2_isolation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, columns = _features(spark, sf_dir)
-    return IsolationForest.fit(f, columns).score(f).select("row_id", "anomaly_score")
+    f, _ = _features(spark, sf_dir)
+    return IsolationForest.fit(f, FIXED_FEATURES, extra="extra").score(f, extra="extra").select("row_id", "anomaly_score")
 
 
 def m3_batch_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = m2_isolation_scores(spark, sf_dir)
+    scores = materialize(m2_isolation_scores(spark, sf_dir), "scores")
     return scores.select("row_id", (F.col("anomaly_score") > threshold(scores, "anomaly_score", 0.1)).alias("flagged"))
 
 
+def _detector(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Encoder, HybridDetector]:
+    """The feature frame and a detector fitted on it as a stage of a Pipeline, saved and loaded.
+
+    The queries of one session and table share the saved one.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _fitted:
+        f, encoder = _features(spark, sf_dir)
+        path = f"{shared_dir(spark)}/vigilframe/detector-{uuid.uuid4().hex}"
+        Pipeline(stages=[HybridEstimator(**DEFAULTS)]).fit(f).write().overwrite().save(f"{path}/pipeline")
+        encoder.save(f"{path}/encoder")
+        f.write.parquet(f"{path}/features")
+        _fitted[key] = path
+    path = _fitted[key]
+    model = PipelineModel.load(f"{path}/pipeline").stages[0]
+    return spark.read.parquet(f"{path}/features"), Encoder.load(spark, f"{path}/encoder"), model.detector
+
+
 def m8_hybrid_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, columns = _features(spark, sf_dir)[0], list(FIXED_FEATURES)
-    return HybridDetector(DEFAULTS).fit(f, columns).predict(f).select("row_id", "anomaly_score", "is_anomaly_predicted")
+    f, _, detector = _detector(spark, sf_dir)
+    return detector.predict(f).select("row_id", "anomaly_score", "is_anomaly_predicted")
 
 
 def m9_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, columns = _features(spark, sf_dir)[0], list(FIXED_FEATURES)
-    found = HybridDetector(DEFAULTS).fit(f, columns).explain()
+    _, encoder, detector = _detector(spark, sf_dir)
+    found = detector.explain(encoder.names)
     return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(found.items(), 1)], "rank int, feature string, importance double")
 
 
 def t6_first_anomalies_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three predicted anomalies, each with the five features of most importance and their values."""
-    f, columns = _features(spark, sf_dir)[0], list(FIXED_FEATURES)
-    model = HybridDetector(DEFAULTS).fit(f, columns)
-    top = list(model.explain().items())[:5]
-    first = model.predict(f).where("is_anomaly_predicted = 1").orderBy("row_id").limit(3)
-    listed = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(c).alias("feature"), F.lit(w).alias("importance"), F.col(f"`{c}`").alias("value")) for i, (c, w) in enumerate(top, 1)])
+    f, encoder, detector = _detector(spark, sf_dir)
+    top = sorted(detector.importances().items(), key=lambda kv: (-kv[1], kv[0]))[:5]
+    names = encoder.names([n for n, _ in top])
+    first = detector.predict(f).where("is_anomaly_predicted = 1").orderBy("row_id").limit(3)
+    value = lambda n: F.col(f"`{FIXED_FEATURES[n]}`") if n < Encoder.FIRST else F.coalesce(F.get(F.filter("extra", lambda x: x["i"] == n), F.lit(0))["v"], F.lit(0.0))
+    listed = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(names[n]).alias("feature"), F.lit(w).alias("importance"), value(n).alias("value")) for i, (n, w) in enumerate(top, 1)])
     return first.select("row_id", "user_id", F.inline(listed))
 
 
