@@ -148,3 +148,13 @@ def test_global_sequences_need_no_single_task(spark, monkeypatch):
     order = sorted(range(300), key=lambda i: (i % 50, i))
     want = {i: [[float(x)] for x in order[k - 9 : k + 1]] if k >= 9 else None for k, i in enumerate(order)}
     assert {r.row_id: r.sequence for r in out.collect()} == want
+
+
+def test_large_samples_are_the_small_ones(spark, monkeypatch):
+    from vigilframe.operators import sets
+
+    df = spark.range(3000).withColumnRenamed("id", "row_id").repartition(5)
+    small = {r.row_id for r in sets.sample_rows(df, 700).collect()}
+    monkeypatch.setattr(sets, "FEW", 10)
+    large = sets.sample_rows(df, 700)
+    assert {r.row_id for r in large.collect()} == small and len(small) == 700 and large.columns == ["row_id"]

@@ -12,6 +12,9 @@ from vigilframe.functions.scalars import first_truthy, steady_id
 from vigilframe.schema import EVENT, REQUIRED, TEXT_COLUMNS, UNKNOWN
 from vigilframe.session import materialize
 
+#: Rows that one task may gather.
+FEW = 100_000
+
 
 def standardize(df: DataFrame) -> DataFrame:
     """The canonical columns in order: absent ones null, times that don't parse null. row_id passes through."""
@@ -42,8 +45,13 @@ def drop_null_keys(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "row_id") -> DataFrame:
-    """n rows without replacement, the same ones however the table is partitioned."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n rows without replacement, the same ones however the table is partitioned.
+
+    A large sample is cut off by place in the order of the hash, so that no task gets all of it.
+    """
+    if n <= FEW:
+        return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return placed(df.withColumn("__hash", F.xxhash64(key, F.lit(seed))), ["__hash", key], "__place").where(F.col("__place") <= n).drop("__hash", "__place")
 
 
 def union(*frames: DataFrame) -> DataFrame:

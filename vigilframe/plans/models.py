@@ -22,7 +22,7 @@ from vigilframe.session import materialize, shared_dir
 from vigilframe.sources import read
 from vigilframe.sources.events import read_events
 from vigilframe.sources.synthetic import Generator
-from vigilframe.streaming.micro_batch import score_batches, stream_raw
+from vigilframe.streaming.micro_batch import for_each_batch, score_batches, stream_logs, stream_raw
 
 #: All defaults but the share of rows above a threshold.
 DEFAULTS = {"inputCols": list(FIXED_FEATURES), "extraCol": "extra", "contamination": 0.1}
@@ -103,7 +103,30 @@ def x3_scaled_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("row_id bigint, session_duration_seconds_scaled double").parquet(f"{at}/out").select("row_id", F.round("session_duration_seconds_scaled", 6).alias("scaled"))
 
 
+def _write_logs(events: DataFrame, folder: str, records: int = 1000) -> None:
+    """Events as audit logs: JSON files of one object each, whose Records array has so many events."""
+    failed = F.when(F.col("status") == "failure", F.lit("AccessDenied"))
+    record = F.struct(
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("eventTime"), F.col("action").alias("eventName"), F.col("region").alias("awsRegion"), F.col("ip_address").alias("sourceIPAddress"),
+        F.col("user_agent").alias("userAgent"), F.col("session_id").alias("requestID"), failed.alias("errorCode"), F.struct(F.col("user_id").alias("userName")).alias("userIdentity"), F.array(F.struct(F.col("resource").alias("resourceName"))).alias("resources"),
+    )
+    files = events.groupBy(F.floor(F.col("row_id") / records).alias("file")).agg(F.collect_list(record).alias("Records"))
+    files.write.partitionBy("file").json(folder)
+
+
+def x1_logs_in_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as JSON log files, read back as a stream of some files at a time."""
+    at = f"{shared_dir(spark)}/vigilframe-logs-{uuid.uuid4().hex}"
+    _write_logs(read_events(spark, sf_dir), f"{at}/logs")
+    logs = stream_logs(spark, "aws", f"{at}/logs/file=*", files_per_batch=25)
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+    for_each_batch(logs, f"{at}/state", keep, adapt=lambda batch: batch).awaitTermination()
+    read = spark.read.schema(logs.schema).parquet(f"{at}/out")
+    return read.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "user_id", "action", "resource", "ip_address", "region", "status", "session_id", "user_agent")
+
+
 QUERIES = {
+    "x1_logs_in_micro_batches": x1_logs_in_micro_batches,
     "s7_synthetic_reader": lambda spark, sf_dir: read(spark, "synthetic", n=1000),
     "s8_privileged_generator": lambda spark, sf_dir: Generator().privileged(spark, 1000),
     "s11_normal_log": lambda spark, sf_dir: Generator().normal_log(spark, 1000),
@@ -128,6 +151,7 @@ ORACLES = {
         "SELECT session_id, reasons FROM (SELECT session_id, concat_ws('; ', " + ", ".join(f"CASE WHEN {c.format(t=LIMITS)} THEN {SQL_REASONS[code].replace('{{', '{').replace('}}', '}')} END" for code, c in SQL_RULES.items()) + ") AS reasons FROM m) WHERE reasons <> ''",
         METRICS,
     ),
+    "x1_logs_in_micro_batches": over_events("SELECT strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S') AS at, user_id, action, resource, ip_address, region, status, session_id, user_agent FROM ev"),
     # The stream must equal the batch once it is through.
     "x3_scaled_micro_batches": "SELECT event_id AS row_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) + 0 AS scaled FROM events",
 }

@@ -77,8 +77,15 @@ def _odd() -> Column:
 
 query("p1_standardize", lambda e: sets.standardize(e.drop("region").withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))).select("row_id", F.date_format("timestamp", "HH:mm").alias("at"), "user_id", "region", "status", F.lit(len(EVENT)).cast("long").alias("n_columns")),
       over_events("SELECT row_id, strftime(\"timestamp\", '%H:%M') AS at, user_id, NULL::VARCHAR AS region, status, 11::BIGINT AS n_columns FROM ev"))
-query("p2_validate", lambda e: e.agg(*[(F.count(c) > 0).alias(c) for c in REQUIRED]).select(F.forall(F.array(*REQUIRED), lambda x: x).alias("valid")),
-      over_events("SELECT " + " AND ".join(f'count("{c}") > 0' for c in REQUIRED) + " AS valid FROM ev"))
+def _validated(e: DataFrame) -> DataFrame:
+    """Whether the events are valid, and without two of the columns, and events of which a column is null throughout."""
+    tables = {"all": e, "no_status": e.drop("status", "action"), "null_action": e.withColumn("action", F.lit(None).cast("string")), "none": e.where("row_id < 0")}
+    return e.sparkSession.createDataFrame([(name, sets.validate(t)) for name, t in tables.items()], "events string, valid boolean")
+
+
+query("p2_validate", _validated,
+      over_events("SELECT unnest(['all', 'no_status', 'null_action', 'none']) AS events, unnest([" + " AND ".join(f'count("{c}") > 0' for c in REQUIRED) + ", false, false, false]) AS valid FROM ev"))
+query("f25_steady_id", lambda e: e.select("row_id", scalars.steady_id(F.col("row_id")).alias("made_id")), over_events("SELECT row_id, substring(sha256(row_id::VARCHAR), 1, 32) AS made_id FROM ev"))
 query("p3_clean", lambda e: sets.clean(e.withColumns({"region": F.when(F.col("row_id") % 3 > 0, F.col("region")), "session_start": F.when(F.col("row_id") % 2 == 0, F.col("session_start"))})).select("row_id", "region", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("start")),
       over_events("SELECT row_id, CASE WHEN row_id % 3 > 0 THEN region ELSE 'unknown' END AS region, strftime(CASE WHEN row_id % 2 = 0 THEN session_start ELSE \"timestamp\" END, '%Y-%m-%d %H:%M:%S') AS start FROM ev"))
 query("p4_drop_null_keys", lambda e: sets.drop_null_keys(e, "ticket_id", "reason_for_access").select("row_id", "ticket_id"), over_events("SELECT row_id, ticket_id FROM ev WHERE ticket_id IS NOT NULL AND reason_for_access IS NOT NULL"))
