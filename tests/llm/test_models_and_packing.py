@@ -407,6 +407,19 @@ def test_toxicity(spark, make_docs, odd):
     assert max(r.score for r in toxicity.score(make_docs(odd), none).collect()) < 0.01
 
 
+def test_samples_are_bounded_in_rows(spark, make_docs, monkeypatch):
+    """An id with very many rows doesn't fill the driver; equal rows of op7 train once."""
+    seen = {}
+    for module, name in ((toxicity, "train_nnpu"), (quality, "train_network")):
+        train = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda x, y, *rest, f=train, name=name: (seen.__setitem__(name, len(y)), f(x, y, *rest))[1])
+    rows = [(i, f"{'foul' if i % 2 else 'fair'} words number {i % 7} stand here") for i in range(60)] + [(1, "foul words number 1 stand here")] * 3000 + [(3, f"foul other {k}") for k in range(3000)]
+    docs, labels = make_docs(rows), spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert toxicity.fit(spark, docs, labels, max_positive=30, max_unlabelled=60).prior == 0.5
+    model = quality.fit(spark, docs, labels, max_train=500)
+    assert quality.score(docs.limit(5), model).count() == 5 and seen == {"train_nnpu": 90, "train_network": 500}
+
+
 def test_rollup(spark, make_docs, tmp_path):
     docs = make_docs([(1, "a b c", "x"), (2, "d", "x"), (3, None, None)])
     count = {("words", "1"): common.word_count(F.col("text"))}

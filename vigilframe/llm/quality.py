@@ -163,8 +163,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     """labels: (id, label 0 or 1). learn_from: over the labels' id, the rows whose label may be seen.
 
     Word vectors come from all documents. Null labels and ids are not used; a document with
-    several labels has their rounded mean, and repeated rows train each. Which rows train, where
-    there are more than max_train, is decided by hash, ties by id. Without any label, or with an
+    several labels has their rounded mean, and repeated rows train each. At most max_train ids and
+    rows train; which ones, where there are more, is decided by hash, ties by id. Without any label, or with an
     empty table, the model scores 0.5. Columns of any name are fine.
     """
     table = spark.sparkContext.broadcast(_pooling_table(*word_vectors(docs, text_col)))
@@ -179,7 +179,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "label": pdf["__label"], "x": list(pool(list(pdf["body"]), table.value))})
 
-    got = rows.mapInPandas(features, "id long, label double, x array<float>").toPandas()
+    # An id that is repeated very often must not fill the driver.
+    got = rows.mapInPandas(features, "id long, label double, x array<float>").orderBy(F.xxhash64("id", "x"), "id").limit(max_train).toPandas()
     if not len(got):
         return QualityModel(table, None)
     got = got.iloc[np.lexsort([got["label"], textnum.mix(got["id"].to_numpy(np.int64).view(np.uint64))])]

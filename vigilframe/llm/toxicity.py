@@ -8,6 +8,7 @@ logistic model over hashed words, trained with numpy on bounded samples.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -42,8 +43,8 @@ def word_sets(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return flat >> BITS, flat & ((1 << BITS) - 1)
 
 
-def _few(words: np.ndarray) -> np.ndarray:
-    return words if len(words) <= MAX_WORDS else np.sort(words[np.argpartition(textnum.mix(words.astype(np.uint64)), MAX_WORDS)[:MAX_WORDS]])
+def _few(words: np.ndarray, most: int = MAX_WORDS) -> np.ndarray:
+    return words if len(words) <= most else np.sort(words[np.argpartition(textnum.mix(words.astype(np.uint64)), most)[:most]])
 
 
 @dataclass
@@ -139,12 +140,14 @@ def train_nnpu(words: np.ndarray, ends: np.ndarray, n_pos: int, prior: float, se
     return out, float(w[-1])
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn_from: Callable[[Column], Column] | None = None, prior: float | None = None) -> ToxicityModel:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn_from: Callable[[Column], Column] | None = None, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_words: int = MAX_WORDS) -> ToxicityModel:
     """labels: (id, label 0 or 1). learn_from: over the id, the rows whose label may be seen.
 
     Only positive labels train. prior is the share of toxic documents; by default the share among
-    the labels that may be seen. Null labels and ids are not used. Which rows train, where there
-    are more than the samples take, is decided by hash, ties by id. Without a positive label, or
+    the labels that may be seen. Null labels and ids are not used. At most max_positive labelled
+    and max_unlabelled other ids train, with max_words different words of a text; which ones,
+    where there are more, is decided by hash, ties by id. Equal rows train once, and no more rows
+    than ids may, whatever number of rows an id has. Without a positive label, or
     with an empty table, the model scores 0 everywhere. Columns of any name are fine.
     """
     allowed = labels.where(learn_from(F.col(id_col))) if learn_from is not None else labels
@@ -155,10 +158,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     prior = float(np.clip(share if prior is None else prior, 1e-4, 0.9))
     # Both samples are bounded lists of ids, so every task can have them.
     chance = F.xxhash64("__id", F.lit("toxic"))
-    positive = known.where("__label > 0").orderBy(chance, "__id").limit(MAX_POSITIVE).select("__id", F.lit(True).alias("__positive"))
+    positive = known.where("__label > 0").orderBy(chance, "__id").limit(max_positive).select("__id", F.lit(True).alias("__positive"))
     pool = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"))
     pool = pool.where(learn_from(F.col("__id"))) if learn_from is not None else pool
-    unlabelled = pool.orderBy(chance, "__id").limit(MAX_UNLABELLED).select("__id", F.lit(False).alias("__positive")).distinct()
+    unlabelled = pool.orderBy(chance, "__id").limit(max_unlabelled).select("__id", F.lit(False).alias("__positive")).distinct()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
     rows = source.join(F.broadcast(positive.union(unlabelled)), F.col("id") == F.col("__id")).select("id", F.col("__positive").alias("positive"), "body")
 
@@ -166,10 +169,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
         for pdf in batches:
             doc, word = word_sets(list(pdf["body"]))
             cut = np.searchsorted(doc, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"id": pdf["id"], "positive": pdf["positive"], "words": [_few(word[cut[i] : cut[i + 1]]).astype("<i4").tobytes() for i in range(len(pdf))]})
+            yield pd.DataFrame({"id": pdf["id"], "positive": pdf["positive"], "words": [_few(word[cut[i] : cut[i + 1]], max_words).astype("<i4").tobytes() for i in range(len(pdf))]})
 
-    got = rows.mapInPandas(listed, "id long, positive boolean, words binary").toPandas()
-    got = got.iloc[np.lexsort([textnum.mix(got["id"].to_numpy(np.int64).view(np.uint64)), ~got["positive"].to_numpy(bool)])]
+    # An id that is repeated very often must not fill the driver.
+    lists = rows.mapInPandas(listed, "id long, positive boolean, words binary").dropDuplicates()
+    got = lists.orderBy(F.xxhash64("id", "words"), "id").limit(max_positive + max_unlabelled).toPandas()
+    got = got.iloc[np.lexsort([got["words"].map(zlib.crc32), textnum.mix(got["id"].to_numpy(np.int64).view(np.uint64)), ~got["positive"].to_numpy(bool)])]
     ends, n_pos = np.cumsum(got["words"].map(len).to_numpy(np.int64) // 4), int(got["positive"].sum())
     words = np.frombuffer(b"".join(got["words"]), "<i4")
     del got
