@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 from dataclasses import replace
 
 import numpy as np
@@ -20,8 +21,11 @@ from vigilframe.operators import quantiles
 from vigilframe.operators.scaling import Scaler
 from vigilframe.plans.pipeline import Encoder, extract
 from vigilframe.schema import FIXED_FEATURES
-from vigilframe.sources.events import from_events
+from vigilframe.operators import windows
+from vigilframe.plans.models import write_slices
+from vigilframe.sources.events import from_events, from_events_unwindowed
 from vigilframe.sources.synthetic import Generator
+from vigilframe.streaming.keyed import carried, user_features
 from vigilframe.streaming.micro_batch import for_each_batch, stream_raw, windowed_counts
 
 SMALL = Parameters(contamination=0.2, n_trees=30, forest_trees=10, forest_depth=6, sequence_length=4, components=3, training=Training(units=8, epochs=3, batch=256))
@@ -217,3 +221,27 @@ def test_isolation_forest_with_extra_features(spark):
     s = model.score(df, extra="more").select("row_id", "anomaly_score").toPandas()
     assert set(s.nlargest(5, "anomaly_score")["row_id"]) == set(range(0, 500, 100))
     assert IsolationForest.fit(df, ["a"], n_trees=5).score(df.limit(0)).count() == 0
+
+
+def test_keyed_state_survives_a_restart(spark, sf_dir, tmp_path):
+    """Half of the files, then the rest from the checkpoint, give what all files at once and the batch do."""
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 400")
+    write_slices(raw, f"file://{tmp_path}/all")
+    files = sorted((f for f in (tmp_path / "all").glob("*.parquet")), key=lambda f: f.stat().st_mtime)
+    assert len(files) == 4
+    (tmp_path / "some").mkdir()
+    for some in (files[:2], files[2:]):
+        for f in some:
+            shutil.copy2(f, tmp_path / "some" / f.name)
+        found = user_features(from_events_unwindowed(stream_raw(spark, f"file://{tmp_path}/some", "*.parquet")), 86400.0)
+        found.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {r.row_id: r[2:] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    batch = windows.trailing_count(windows.with_gap(from_events(raw), "gap", "user_id"), "n", "user_id", 86400.0)
+    assert len(got) == 400
+    for r in batch.collect():
+        assert (got[r.row_id][0], got[r.row_id][1]) == (pytest.approx(r.gap), r.n)
+
+
+def test_carried_windows_by_hand():
+    gaps, counts, left = carried(np.array([10, 10, 70, 200]) * 1_000_000, 5_000_000, np.array([5]) * 1_000_000, 60_000_000)
+    assert gaps.tolist() == [5, 0, 60, 130] and counts.tolist() == [2, 3, 1, 1] and left.tolist() == [200_000_000]

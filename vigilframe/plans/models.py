@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import pairwise
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -12,16 +13,18 @@ from vigilframe.models.ensemble import HybridDetector
 from vigilframe.models.isolation import IsolationForest, threshold
 from vigilframe.models.stages import HybridEstimator
 from vigilframe.operators import sets
+from vigilframe.operators.quantiles import percentiles
 from vigilframe.operators.rules import rule_hits, session_metrics
 from vigilframe.operators.scaling import Scaler
 from vigilframe.plans.pipeline import Encoder, extract
 from vigilframe.plans.reports import LIMITS, METRICS, SQL_RULES
-from vigilframe.plans.twins import over_events
+from vigilframe.plans.twins import WU, over_events
 from vigilframe.schema import FIXED_FEATURES
 from vigilframe.session import materialize, shared_dir
 from vigilframe.sources import read
-from vigilframe.sources.events import read_events
+from vigilframe.sources.events import from_events_unwindowed, read_events
 from vigilframe.sources.synthetic import Generator
+from vigilframe.streaming.keyed import user_features
 from vigilframe.streaming.micro_batch import for_each_batch, score_batches, stream_logs, stream_raw
 
 #: All defaults but the share of rows above a threshold.
@@ -125,7 +128,26 @@ def x1_logs_in_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "user_id", "action", "resource", "ip_address", "region", "status", "session_id", "user_agent")
 
 
+def write_slices(raw: DataFrame, folder: str, slices: int = 4) -> None:
+    """The raw events in files of equal size, one after the other in the order of time."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = percentiles(raw.select(micros.alias("t")), "t", [k / slices for k in range(1, slices)])
+    for low, high in pairwise([None, *cuts, None]):
+        part = raw if low is None else raw.where(micros > low)
+        (part if high is None else part.where(micros <= high)).coalesce(1).write.mode("append").parquet(folder)
+
+
+def x1_user_features_on_the_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps, trailing minutes and counts of users, carried from file to file as keyed state."""
+    at = f"{shared_dir(spark)}/vigilframe-keyed-{uuid.uuid4().hex}"
+    write_slices(spark.read.parquet(f"{sf_dir}/events.parquet"), f"{at}/events")
+    found = user_features(from_events_unwindowed(stream_raw(spark, f"{at}/events", "*.parquet")), minute=3600.0)
+    found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{at}/out").withColumn("time_since_last_access", F.round("time_since_last_access", 6))
+
+
 QUERIES = {
+    "x1_user_features_on_the_stream": x1_user_features_on_the_stream,
     "x1_logs_in_micro_batches": x1_logs_in_micro_batches,
     "s7_synthetic_reader": lambda spark, sf_dir: read(spark, "synthetic", n=1000),
     "s8_privileged_generator": lambda spark, sf_dir: Generator().privileged(spark, 1000),
@@ -152,6 +174,9 @@ ORACLES = {
         METRICS,
     ),
     "x1_logs_in_micro_batches": over_events("SELECT strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S') AS at, user_id, action, resource, ip_address, region, status, session_id, user_agent FROM ev"),
+    "x1_user_features_on_the_stream": over_events(f"""SELECT row_id, user_id, round(coalesce(date_diff('microsecond', lag("timestamp") OVER ({WU}), "timestamp") / 1e6, 0), 6) AS time_since_last_access,
+        count(*) OVER (PARTITION BY user_id ORDER BY "timestamp" RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) - (count(*) OVER (PARTITION BY user_id, "timestamp") - row_number() OVER (PARTITION BY user_id, "timestamp" ORDER BY row_id)) AS actions_per_minute,
+        count(*) FILTER (status = 'success') OVER r AS success_count, count(*) FILTER (status = 'failure') OVER r AS failure_count FROM ev WINDOW r AS ({WU} ROWS UNBOUNDED PRECEDING)"""),
     # The stream must equal the batch once it is through.
     "x3_scaled_micro_batches": "SELECT event_id AS row_id, round((value - avg(value) OVER ()) / stddev_pop(value) OVER (), 6) + 0 AS scaled FROM events",
 }

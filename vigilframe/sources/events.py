@@ -17,12 +17,12 @@ def _pick(options: tuple[str, ...], at: Column) -> Column:
     return F.get(F.array(*[F.lit(o) for o in options]), at.cast("int"))
 
 
-def from_events(events: DataFrame) -> DataFrame:
-    """row_id, the canonical columns, role and the privileged columns."""
+def from_events_unwindowed(events: DataFrame) -> DataFrame:
+    """row_id, the canonical columns but for the session's times, role and the privileged columns: what a stream can have too."""
     k = F.get_json_object("props", "$.k").try_cast("long")
     e = events.select(F.col("event_id").alias("row_id"), F.col("ts").alias("timestamp"), F.col("user_id").alias("uid"), F.col("event_type").alias("action"), "value", k.alias("k"))
     user = F.concat(F.lit("user_"), F.col("uid").cast("string"))
-    e = e.select(
+    return e.select(
         "row_id", "timestamp", user.alias("user_id"), "action",
         _pick(RESOURCES, F.col("k") % 5).alias("resource"),
         F.concat(F.when(F.col("k") % 4 == 0, "203.0.").otherwise("192.168."), (F.col("k") + 21).cast("string"), F.lit("."), (F.col("uid") % 254).cast("string")).alias("ip_address"),
@@ -39,7 +39,11 @@ def from_events(events: DataFrame) -> DataFrame:
         F.when(F.col("k") % 3 != 0, F.concat(F.lit("T"), F.col("row_id").cast("string"))).alias("ticket_id"),
         F.when(F.col("k") % 7 != 0, F.lit("maintenance")).alias("reason_for_access"),
     )
-    session = Window.partitionBy("session_id")
+
+
+def from_events(events: DataFrame) -> DataFrame:
+    """row_id, the canonical columns, role and the privileged columns."""
+    e, session = from_events_unwindowed(events), Window.partitionBy("session_id")
     return e.withColumns({"session_start": F.min("timestamp").over(session), "session_end": F.max("timestamp").over(session)})
 
 
