@@ -15,6 +15,7 @@ from vigilframe.models.recurrent import Training
 from vigilframe.models.stages import HybridEstimator
 from vigilframe.operators import features as X
 from vigilframe.models import forest as forest_module
+from vigilframe.models.experiments import ExperimentLog
 from vigilframe.models.forest import RandomForest
 from vigilframe.models.isolation import IsolationForest
 from vigilframe.operators import quantiles
@@ -245,3 +246,16 @@ def test_keyed_state_survives_a_restart(spark, sf_dir, tmp_path):
 def test_carried_windows_by_hand():
     gaps, counts, left = carried(np.array([10, 10, 70, 200]) * 1_000_000, 5_000_000, np.array([5]) * 1_000_000, 60_000_000)
     assert gaps.tolist() == [5, 0, 60, 130] and counts.tolist() == [2, 3, 1, 1] and left.tolist() == [200_000_000]
+
+
+def test_experiments_count_once_and_whole(spark, tmp_path):
+    log = ExperimentLog(spark, f"file://{tmp_path}/log", "run string, f1 double")
+    row = lambda run, f1: spark.createDataFrame([(f1, run, "x")], "f1 double, run string, other string")
+    assert log.rows().count() == 0
+    assert log.append("a/b", row("a/b", 0.5)) and not log.append("a/b", row("a/b", 0.9))
+    # A writer that died: files, but no mark that they are all.
+    row("c", 0.1).write.parquet(log._folder("c"))
+    (tmp_path / "log" / log._folder("c").rsplit("/", 1)[1] / "_SUCCESS").unlink()
+    assert [tuple(r) for r in log.rows().collect()] == [("a/b", 0.5)]
+    assert log.append("c", row("c", 0.7))
+    assert sorted(tuple(r) for r in log.rows().collect()) == [("a/b", 0.5), ("c", 0.7)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilframe.functions import scalars
+from vigilframe.models.experiments import ExperimentLog
 from vigilframe.operators import features as X
 from vigilframe.operators import reports as R
 from vigilframe.operators import sets
@@ -17,6 +19,7 @@ from vigilframe.operators.scaling import Scaler
 from vigilframe.plans.features import rounded
 from vigilframe.plans.twins import over_events
 from vigilframe.schema import EVENT, REQUIRED
+from vigilframe.session import shared_dir
 from vigilframe.sources.cloud import ACTIVITY_RECORD, TRAIL_RECORD, parse_activity, parse_trail
 from vigilframe.sources.events import read_events
 
@@ -209,6 +212,22 @@ def _summary(e: DataFrame) -> DataFrame:
 
 
 query("v6_summary", _summary, over_events("SELECT 'events' AS item, count(*) AS n FROM ev UNION ALL SELECT 'anomalies', count(*) FILTER (policy_violation) FROM ev UNION ALL SELECT 'user:' || user_id, n FROM top5 UNION ALL SELECT 'hour:' || h.hour, count(row_id) FROM range(24) h(hour) LEFT JOIN (SELECT * FROM ev WHERE policy_violation) x ON hour(x.\"timestamp\") = h.hour GROUP BY h.hour", TOP5))
+def _experiment(e: DataFrame, run: str, contamination: float, predicted: Column) -> DataFrame:
+    return R.detection_quality(e, _odd(), predicted).select(F.lit(run).alias("run"), F.lit(contamination).alias("contamination"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
+
+
+def _experiment_log(e: DataFrame) -> DataFrame:
+    """Two runs appended to a log, the first one twice."""
+    log = ExperimentLog(e.sparkSession, f"{shared_dir(e.sparkSession)}/vigilframe/experiments-{uuid.uuid4().hex}", "run string, contamination double, precision double, recall double, f1 double")
+    runs = {"privileged": (0.35, F.col("is_privileged_session")), "failures": (0.1, F.col("status") == "failure")}
+    for run in ("privileged", "failures", "privileged"):
+        log.append(run, _experiment(e, run, *runs[run]))
+    return log.rows()
+
+
+query("v7_experiment_log", _experiment_log, over_events(" UNION ALL ".join(
+    f"SELECT '{run}' AS run, {c}::DOUBLE AS contamination, round(tp / p::DOUBLE, 6) AS precision, round(tp / y::DOUBLE, 6) AS recall, round(2.0 * tp / (p + y), 6)::DOUBLE AS f1 FROM (SELECT count(*) FILTER (policy_violation AND {flag}) AS tp, count(*) FILTER ({flag}) AS p, count(*) FILTER (policy_violation) AS y FROM ev)"
+    for run, c, flag in (("privileged", 0.35, "is_privileged_session"), ("failures", 0.1, "status = 'failure'")))))
 query("v7_experiment_row", lambda e: R.detection_quality(e, _odd(), F.col("is_privileged_session")).select(F.lit("default").alias("run"), F.lit(0.35).alias("contamination"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1")),
       over_events("SELECT 'default' AS run, 0.35::DOUBLE AS contamination, round(tp / p::DOUBLE, 6) AS precision, round(tp / y::DOUBLE, 6) AS recall, round(2.0 * tp / (p + y), 6)::DOUBLE AS f1 FROM (SELECT count(*) FILTER (policy_violation AND is_privileged_session) AS tp, count(*) FILTER (is_privileged_session) AS p, count(*) FILTER (policy_violation) AS y FROM ev)"))
 
