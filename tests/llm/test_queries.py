@@ -15,6 +15,7 @@ COLUMNS = {
     "op5_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], "op6_quality": ["doc_id", "held_out", "score", "predicted"], "op7_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op8_pack_documents": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op9_lm_scores": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], "op10_simhash": ["doc_id", "fingerprint", "component_id"],
+    "op11_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], "op12_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
