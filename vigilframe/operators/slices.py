@@ -34,8 +34,8 @@ class Hot:
 
 
 def hot_keys(df: DataFrame, key: str) -> Hot:
-    """Counts the rows of each key; not where the plan's own estimate leaves no room for so many rows."""
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < HOT_ROWS:
+    """Counts the rows of each key; not where the plan's own estimate leaves no room for so many rows of a few bytes."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 8 * HOT_ROWS:
         return Hot(key, None)
     counts = df.groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("n"))
     found = materialize(counts.where(F.col("n") > HOT_ROWS).select("__hot"), "hot-keys")
