@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import json
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vigilframe.operators import sets
 from vigilframe.schema import EVENT
-from vigilframe.sources import READERS, files, get_log_reader, read
+from vigilframe.sources import READERS, blocks, files, get_log_reader, read
 from vigilframe.sources.synthetic import Generator
 from vigilframe.streaming.micro_batch import for_each_batch, stream_logs
 
@@ -103,3 +106,56 @@ def test_logs_in_micro_batches(spark, tmp_path):
     query.awaitTermination()
     assert len(numbers) == 5
     assert sorted(seen) == sorted(tuple(r) for r in read(spark, "aws", str(logs)).collect()) and len(seen) == 12
+
+
+def cut(text: bytes, block: int) -> list[bytes]:
+    """The records of a text by blocks, without Spark."""
+    f, rows = io.BytesIO(text), []
+    for start in range(0, len(text), block):
+        first, end = blocks.border(f, start, len(text)), blocks.border(f, start + block, len(text))
+        head, data = text[max(0, first - blocks.BEHIND) : first], text[first:end]
+        found = blocks.marks(data)
+        rows.append(("f", len(text), start, *blocks.summary(head, data, found, False), *blocks.summary(head, data, found, True)))
+    states = blocks.chain(pd.DataFrame(rows, columns=["path", "length", "start", "out_ends", "out_pops", "out_opens", "in_ends", "in_pops", "in_opens"]))
+    return [r for s in states.itertuples() for r in blocks.records_in(f, len(text), s.start, block, s.inside, s.stack)]
+
+
+def test_records_by_blocks():
+    """Wherever the cuts fall, strings, escapes, nested arrays and other keys included, the records are those of a JSON parser."""
+    rng = random.Random(3)
+    bits = ['"', "\\", "{", "}", "[", "]", ",", ":", "Records", "é", "x", '\\"', "\\\\", "\n"]
+    word = lambda: "".join(rng.choices(bits, k=rng.randrange(6)))
+    for trial in range(9):
+        records = [{"eventName": word(), "Records": [{"a": word()}], "n": {word(): [word(), {"b": [[], {}]}]}} for _ in range(rng.randrange(6))]
+        roots = [records, {"Records": records}, {"first": [{"no": word()}], "Records": records, "last": {"Records": [{"no": 1}]}, word(): [{"no": 2}]}]
+        for root in roots:
+            if isinstance(root, dict) and root.get("Records") is not records:
+                continue
+            text = json.dumps(root, indent=trial % 3 or None, ensure_ascii=trial % 2 == 0).encode()
+            for block in (1, 7, 64, 5000):
+                assert [json.loads(r) for r in cut(text, block)] == records
+    assert cut(b"", 4) == cut(b"[]", 1) == cut(b'{"Records": null}', 3) == cut(b"{not json", 2) == cut(b"null", 2) == []
+    assert cut(b'[{"a": 1}, null, 3, "{}", {"a": 2}, {"a": ', 5) == [b'{"a": 1}', b'{"a": 2}']
+    long = {"Records": [{"a": "x" * 300_000}, {"b": 1}]}
+    assert [json.loads(r) for r in cut(json.dumps(long).encode(), 1000)] == long["Records"]
+
+
+def test_large_logs(spark, tmp_path):
+    """Equal to the whole reader on sound files; of broken ones the sound records stay; several tasks read one file."""
+    who = {"userName": None, "sessionContext": {"sessionIssuer": {"userName": 'a "quoted\\ {name'}}}
+    records = [{"eventTime": f"2024-01-01T10:{i % 60:02}:00Z", "eventName": f"e{i}", "userIdentity": who if i % 3 else None, "requestID": f"s{i}", "resources": [{"resourceName": "r]"}, {"resourceName": "}"}]} for i in range(500)]
+    records.append({"eventTime": 5, "eventName": ["of another type"], "requestID": "odd"})
+    sound = tmp_path / "sound"
+    sound.mkdir()
+    (sound / "a b.json").write_text(json.dumps({"version": [{"eventName": "no"}], "Records": records}))
+    (sound / "b.json").write_text(json.dumps(records[:40], indent=2))
+    (sound / "c.json").write_text("")
+    whole, cut_up = read(spark, "aws", str(sound)), read(spark, "aws", str(sound), block=4096)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, cut_up.collect())) and cut_up.count() == 541
+    texts = blocks.record_texts(spark, str(sound / "a b.json"), 4096)
+    assert texts.groupBy(F.spark_partition_id()).count().count() > 4
+    broken = tmp_path / "broken.json"
+    broken.write_text('{"Records": [{"eventName": "one"}, {"eventName": oops}, {"eventName": "two"}, {"eventName": "cut o')
+    assert [r.action for r in read(spark, "aws", str(broken), block=16).orderBy("action").collect()] == ["one", "two"]
+    assert read(spark, "aws", str(tmp_path / "missing.json"), block=16).count() == 0
+    assert read(spark, "azure", str(sound / "c.json"), block=16).count() == 0

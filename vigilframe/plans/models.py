@@ -117,6 +117,10 @@ def _write_logs(events: DataFrame, folder: str, records: int = 1000) -> None:
     files.write.partitionBy("file").json(folder)
 
 
+def _log_columns(events: DataFrame) -> DataFrame:
+    return events.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "user_id", "action", "resource", "ip_address", "region", "status", "session_id", "user_agent")
+
+
 def x1_logs_in_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as JSON log files, read back as a stream of some files at a time."""
     at = f"{shared_dir(spark)}/vigilframe-logs-{uuid.uuid4().hex}"
@@ -124,8 +128,14 @@ def x1_logs_in_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = stream_logs(spark, "aws", f"{at}/logs/file=*", files_per_batch=25)
     keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
     for_each_batch(logs, f"{at}/state", keep, adapt=lambda batch: batch).awaitTermination()
-    read = spark.read.schema(logs.schema).parquet(f"{at}/out")
-    return read.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "user_id", "action", "resource", "ip_address", "region", "status", "session_id", "user_agent")
+    return _log_columns(spark.read.schema(logs.schema).parquet(f"{at}/out"))
+
+
+def s2_large_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as JSON log files of some megabytes, each read by several tasks."""
+    at = f"{shared_dir(spark)}/vigilframe-large-logs-{uuid.uuid4().hex}"
+    _write_logs(read_events(spark, sf_dir), f"{at}/logs", records=20_000)
+    return _log_columns(read(spark, "aws", f"{at}/logs/file=*", block=1 << 20))
 
 
 def write_slices(raw: DataFrame, folder: str, slices: int = 4) -> None:
@@ -149,6 +159,7 @@ def x1_user_features_on_the_stream(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     "x1_user_features_on_the_stream": x1_user_features_on_the_stream,
     "x1_logs_in_micro_batches": x1_logs_in_micro_batches,
+    "s2_large_log_files": s2_large_log_files,
     "s7_synthetic_reader": lambda spark, sf_dir: read(spark, "synthetic", n=1000),
     "s8_privileged_generator": lambda spark, sf_dir: Generator().privileged(spark, 1000),
     "s11_normal_log": lambda spark, sf_dir: Generator().normal_log(spark, 1000),
@@ -168,12 +179,14 @@ SQL_REASONS = {
     "hours": "'outside working hours: ' || strftime(start_time, '%H:%M')", "duration": "format('long session: {{:.1f}} minutes', duration)", "actions": "'many actions: ' || n_actions",
     "ips": "'many addresses: ' || n_unique_ips", "failures": "format('failure rate: {{:.1f}}%', failure_rate * 100)",
 }
+SQL_LOGS = "SELECT strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S') AS at, user_id, action, resource, ip_address, region, status, session_id, user_agent FROM ev"
 ORACLES = {
     "f24_reasons": over_events(
         "SELECT session_id, reasons FROM (SELECT session_id, concat_ws('; ', " + ", ".join(f"CASE WHEN {c.format(t=LIMITS)} THEN {SQL_REASONS[code].replace('{{', '{').replace('}}', '}')} END" for code, c in SQL_RULES.items()) + ") AS reasons FROM m) WHERE reasons <> ''",
         METRICS,
     ),
-    "x1_logs_in_micro_batches": over_events("SELECT strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S') AS at, user_id, action, resource, ip_address, region, status, session_id, user_agent FROM ev"),
+    "x1_logs_in_micro_batches": over_events(SQL_LOGS),
+    "s2_large_log_files": over_events(SQL_LOGS),
     "x1_user_features_on_the_stream": over_events(f"""SELECT row_id, user_id, round(coalesce(date_diff('microsecond', lag("timestamp") OVER ({WU}), "timestamp") / 1e6, 0), 6) AS time_since_last_access,
         count(*) OVER (PARTITION BY user_id ORDER BY "timestamp" RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) - (count(*) OVER (PARTITION BY user_id, "timestamp") - row_number() OVER (PARTITION BY user_id, "timestamp" ORDER BY row_id)) AS actions_per_minute,
         count(*) FILTER (status = 'success') OVER r AS success_count, count(*) FILTER (status = 'failure') OVER r AS failure_count FROM ev WINDOW r AS ({WU} ROWS UNBOUNDED PRECEDING)"""),

@@ -1,7 +1,8 @@
 """Cloud audit logs as canonical events.
 
 A file is an object with a `Records` array or a bare array. Multi-line JSON is one task a file,
-so many files of moderate size scale best; null nested objects keep their row.
+which suits many files of moderate size; given a block size, large files are read by several
+tasks each (blocks.py). Null nested objects keep their row.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from vigilframe.functions.scalars import first_truthy, last_token
 from vigilframe.operators.sets import clean, standardize
 from vigilframe.schema import EVENT
+from vigilframe.sources import blocks
 
 TRAIL_RECORD = """struct<eventTime string, eventName string, eventSource string, awsRegion string, sourceIPAddress string, userAgent string,
  requestID string, errorCode string, errorMessage string,
@@ -69,9 +71,15 @@ def records_of(raw: DataFrame) -> DataFrame:
     return wrapped.unionByName(bare.where(~F.forall(F.array(*[F.col(c).isNull() for c in fields]), lambda absent: absent)))
 
 
-def read_json(spark: SparkSession, path: str, record: str, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Cleaned events of a file or folder; no rows if it is missing. Records that don't parse are skipped."""
+def read_json(spark: SparkSession, path: str, record: str, parse: Callable[[DataFrame], DataFrame], block: int | None = None) -> DataFrame:
+    """Cleaned events of a file or folder; no rows if it is missing. Records that don't parse are skipped.
+
+    With a block size in bytes, large uncompressed files are cut at record borders and each record
+    is judged alone: a file that breaks off keeps the records before.
+    """
     try:
+        if block:
+            return clean(standardize(parse(blocks.parsed(blocks.record_texts(spark, path, block), record))))
         raw = spark.read.schema(json_schema(record)).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
@@ -84,9 +92,9 @@ def read_json(spark: SparkSession, path: str, record: str, parse: Callable[[Data
 FORMATS = {"aws": (TRAIL_RECORD, parse_trail), "azure": (ACTIVITY_RECORD, parse_activity)}
 
 
-def read_trail(spark: SparkSession, path: str) -> DataFrame:
-    return read_json(spark, path, *FORMATS["aws"])
+def read_trail(spark: SparkSession, path: str, block: int | None = None) -> DataFrame:
+    return read_json(spark, path, *FORMATS["aws"], block)
 
 
-def read_activity(spark: SparkSession, path: str) -> DataFrame:
-    return read_json(spark, path, *FORMATS["azure"])
+def read_activity(spark: SparkSession, path: str, block: int | None = None) -> DataFrame:
+    return read_json(spark, path, *FORMATS["azure"], block)
