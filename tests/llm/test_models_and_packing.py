@@ -378,6 +378,22 @@ def test_word_vectors_against_plain_sums(spark, make_docs, odd):
     assert (counts == seen).all() and np.allclose(vectors, want)
 
 
+def test_tables_are_added_in_a_tree(spark, monkeypatch):
+    """Every task's table counts once, sums leave 32 bits whole, and no group holds more than FAN rows."""
+    monkeypatch.setattr(quality, "FAN", 4)
+    width, each = quality.BUCKETS * quality.DIM // quality.SPANS, quality.BUCKETS // quality.SPANS
+    vectors, counts = bytearray(quality._packed(np.full(width, -(1 << 29)))), bytearray(quality._packed(np.full(each, 1 << 40)))
+    assert (vectors[0], counts[0]) == (4, 8)
+    rows = [(t, s, vectors, counts) for t in range(4**quality.LEVELS - 3) for s in (0, 5)]
+    got = quality.combine(spark.createDataFrame(rows, quality.PARTS).repartition(7)).collect()
+    n = 4**quality.LEVELS - 3
+    assert sorted(r.span for r in got) == [0, 5]
+    assert all((quality._unpacked(r.vectors) == -(1 << 29) * n).all() and (quality._unpacked(r.counts) == (1 << 40) * n).all() for r in got)
+    sent = spark.createDataFrame(rows, quality.PARTS).select("span", "task")
+    for level in range(quality.LEVELS):
+        assert sent.groupBy("span", (F.col("task") / 4 ** (level + 1)).cast("int")).agg(F.countDistinct((F.col("task") / 4**level).cast("int")).alias("n")).agg(F.max("n")).first()[0] <= 4
+
+
 def test_network_gradient_and_temperature():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 5))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ MAX_TRAIN = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 3e-3, 1e-4
 #: Words pooled at once: a bound on memory.
 SLICE = 1 << 16
+#: Tables that one group adds up when word vectors are combined, and levels of that: enough for FAN ** LEVELS tasks.
+FAN, LEVELS = 128, 3
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -43,11 +46,40 @@ def _entries(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (piece & np.uint64(DIM - 1)).astype(np.int64), np.where(piece >> np.uint64(7) & np.uint64(1), 1.0, -1.0).astype(np.float32)
 
 
+PARTS = "task long, span long, vectors binary, counts binary"
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers in four bytes each where they fit; the first byte says which."""
+    small = not numbers.size or np.abs(numbers).max() < 1 << 31
+    return (b"\4" if small else b"\10") + numbers.astype("<i4" if small else "<i8").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<i4" if data[:1] == b"\4" else "<i8", offset=1)
+
+
+def combine(parts: DataFrame) -> DataFrame:
+    """One row of PARTS a span, from one of each task: a tree, whose groups hold at most FAN rows up to two million tasks."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        vectors, counts = np.zeros(BUCKETS * DIM // SPANS, np.int64), np.zeros(BUCKETS // SPANS, np.int64)
+        for v, c in zip(pdf["vectors"], pdf["counts"], strict=True):
+            vectors += _unpacked(v)
+            counts += _unpacked(c)
+        return pd.DataFrame({"task": [int(pdf["task"].iloc[0])], "span": [int(pdf["span"].iloc[0])], "vectors": [_packed(vectors)], "counts": [_packed(counts)]})
+
+    for _ in range(LEVELS - 1):
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("span", "task").applyInPandas(add, PARTS)
+    return parts.groupBy("span").applyInPandas(add, PARTS)
+
+
 def word_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """(vectors, counts) by bucket, from the contexts of all words of all documents."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, seen = np.zeros(BUCKETS * DIM, np.float32), np.zeros(BUCKETS, np.int64)
+        # Entries are whole numbers, so the sums are exact whatever the order.
+        flat, seen = np.zeros(BUCKETS * DIM, np.int64), np.zeros(BUCKETS, np.int64)
         for pdf in batches:
             for _, doc, h in textnum.word_hashes(list(pdf["body"]), lower=False):
                 b = _bucket(h)
@@ -57,26 +89,17 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, n
                     near = doc[step:] == doc[:-step]
                     left, right = b[:-step][near] * DIM, b[step:][near] * DIM
                     for dim, sign in entries:
-                        np.add.at(flat, left + dim[step:][near], sign[step:][near])
-                        np.add.at(flat, right + dim[:-step][near], sign[:-step][near])
+                        np.add.at(flat, left + dim[step:][near], sign[step:][near].astype(np.int64))
+                        np.add.at(flat, right + dim[:-step][near], sign[:-step][near].astype(np.int64))
         table = flat.reshape(SPANS, -1)
         counts = seen.reshape(SPANS, -1)
         used = np.flatnonzero(counts.any(axis=1))
-        yield pd.DataFrame({"span": used, "vectors": [table[s].tobytes() for s in used], "counts": [counts[s].tobytes() for s in used]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.zeros(BUCKETS * DIM // SPANS)
-        counts = np.zeros(BUCKETS // SPANS, np.int64)
-        for v, c in zip(pdf["vectors"], pdf["counts"], strict=True):
-            vectors += np.frombuffer(v, np.float32)
-            counts += np.frombuffer(c, np.int64)
-        return pd.DataFrame({"span": [int(pdf["span"].iloc[0])], "vectors": [vectors.astype(np.float32).tobytes()], "counts": [counts.tobytes()]})
+        yield pd.DataFrame({"task": TaskContext.get().partitionId(), "span": used, "vectors": [_packed(table[s]) for s in used], "counts": [_packed(counts[s]) for s in used]})
 
-    schema = "span long, vectors binary, counts binary"
-    parts = docs.select(F.col(text_col).cast("binary").alias("body")).mapInPandas(gather, schema).groupBy("span").applyInPandas(add, schema).toPandas()
+    parts = combine(docs.select(F.col(text_col).cast("binary").alias("body")).mapInPandas(gather, PARTS)).toPandas()
     table, counts = np.zeros((SPANS, BUCKETS * DIM // SPANS), np.float32), np.zeros((SPANS, BUCKETS // SPANS), np.int64)
     for s, v, c in zip(parts["span"], parts["vectors"], parts["counts"], strict=True):
-        table[s], counts[s] = np.frombuffer(v, np.float32), np.frombuffer(c, np.int64)
+        table[s], counts[s] = _unpacked(v), _unpacked(c)
     return table.reshape(BUCKETS, DIM), counts.reshape(-1)
 
 
