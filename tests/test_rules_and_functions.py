@@ -75,3 +75,9 @@ def test_small_expressions(spark):
     df = spark.createDataFrame([("a/b/c", "", "x", float("inf"), "7x")], "p string, e string, f string, d double, n string")
     r = df.select(scalars.last_token(F.col("p")), scalars.first_truthy(F.col("e"), F.col("f")), scalars.finite(F.col("d")), scalars.numeric(F.col("n")), scalars.ratio(F.lit(0), F.lit(0), 1.0)).first()
     assert list(r) == ["c", "x", None, 0.0, 1.0]
+
+
+def test_an_address_is_taken_apart_once(spark):
+    plan = spark.range(1).select(network.is_private_ip(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    # An analysed plan names each expression twice, once for the type of its result.
+    assert plan.count("regexp_extract(") <= 2 and plan.count("split(") <= 10
