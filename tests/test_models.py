@@ -18,12 +18,13 @@ from vigilframe.models import forest as forest_module
 from vigilframe.models.experiments import ExperimentLog
 from vigilframe.models.forest import RandomForest
 from vigilframe.models.isolation import IsolationForest
-from vigilframe.operators import quantiles
+from vigilframe.operators import quantiles, slices
 from vigilframe.operators.scaling import Scaler
 from vigilframe.plans.pipeline import Encoder, extract
 from vigilframe.schema import FIXED_FEATURES
 from vigilframe.operators import windows
 from vigilframe.plans.models import write_slices
+from vigilframe.session import materialize
 from vigilframe.sources.events import from_events, from_events_unwindowed
 from vigilframe.sources.synthetic import Generator
 from vigilframe.streaming.keyed import carried, user_features
@@ -259,3 +260,14 @@ def test_experiments_count_once_and_whole(spark, tmp_path):
     assert [tuple(r) for r in log.rows().collect()] == [("a/b", 0.5)]
     assert log.append("c", row("c", 0.7))
     assert sorted(tuple(r) for r in log.rows().collect()) == [("a/b", 0.5), ("c", 0.7)]
+
+
+def test_more_rows_make_more_tasks(spark, sf_dir, monkeypatch):
+    events = from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    one = extract(events, v6=False)
+    monkeypatch.setattr(slices, "TASK_ROWS", 100)
+    many = extract(events, v6=False)
+    assert many.rdd.getNumPartitions() >= 10 > one.rdd.getNumPartitions()
+    assert many.orderBy("row_id").select("row_id", *FIXED_FEATURES).toPandas().equals(one.orderBy("row_id").select("row_id", *FIXED_FEATURES).toPandas())
+    extracted = materialize(many, "extracted")
+    assert Encoder.fit(extracted).transform(extracted).rdd.getNumPartitions() >= 10
