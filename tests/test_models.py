@@ -271,3 +271,19 @@ def test_more_rows_make_more_tasks(spark, sf_dir, monkeypatch):
     assert many.orderBy("row_id").select("row_id", *FIXED_FEATURES).toPandas().equals(one.orderBy("row_id").select("row_id", *FIXED_FEATURES).toPandas())
     extracted = materialize(many, "extracted")
     assert Encoder.fit(extracted).transform(extracted).rdd.getNumPartitions() >= 10
+
+
+def test_trees_walked_together_reach_the_leaves_of_each():
+    rng = np.random.default_rng(3)
+    trees = [np.array([[-1, 0, -1, -1, 0.25]]), np.array([[1, 0.5, 1, 2, 0.0], [-1, 0, -1, -1, 1.0], [0, 0.3, 3, 4, 0.0], [-1, 0, -1, -1, 2.0], [-1, 0, -1, -1, 3.0]])]
+    x = rng.random((50, 2))
+    x[0], x[1] = (0.3, 0.5), (np.nan, np.nan)
+
+    def walk(row, nodes):
+        at = 0
+        while nodes[at][0] >= 0:
+            at = int(nodes[at][2] if row[int(nodes[at][0])] < nodes[at][1] else nodes[at][3])
+        return nodes[at][4]
+
+    found = forest_module.Leveled.of(trees, {0: 0, 1: 1}).leaves(x)
+    assert found.tolist() == [[walk(row, t) for row in x] for t in trees]
