@@ -39,16 +39,19 @@ def user_features(events: DataFrame, minute: float = 60.0) -> DataFrame:
 
     def work(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, recent, success, failure = state.get if state.exists else (None, [], 0, 0)
-        pdf = pd.concat(list(parts)).sort_values(["micros", "row_id"], na_position="first")
-        known = pdf["micros"].notna().to_numpy()
-        gaps, counts = np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
+        # A group is a few rows and there are many: arrays, as each call of pandas costs more than the rows.
+        found = [(p["row_id"].to_numpy(), p["known"].to_numpy(bool), p["micros"].to_numpy(), p["good"].to_numpy(), p["bad"].to_numpy()) for p in parts]
+        row_id, known, micros, good, bad = found[0] if len(found) == 1 else (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((row_id, micros, known))
+        row_id, known, micros, good, bad = row_id[order], known[order], micros[order], good[order].cumsum(), bad[order].cumsum()
+        gaps, counts = np.zeros(len(row_id)), np.zeros(len(row_id), np.int64)
         if known.any():
-            micros = pdf["micros"][known].to_numpy(np.int64)
-            gaps[known], counts[known], left = carried(micros, last, np.array(recent, np.int64), width)
+            gaps[known], counts[known], left = carried(micros[known], last, np.array(recent, np.int64), width)
             last, recent = int(micros[-1]), left.tolist()
-        good, bad = ((pdf["status"] == s).to_numpy().cumsum() for s in ("success", "failure"))
-        yield pd.DataFrame({"row_id": pdf["row_id"], "user_id": key[0], "time_since_last_access": gaps, "actions_per_minute": counts, "success_count": success + good, "failure_count": failure + bad})
+        yield pd.DataFrame({"row_id": row_id, "user_id": key[0], "time_since_last_access": gaps, "actions_per_minute": counts, "success_count": success + good, "failure_count": failure + bad})
         state.update((last, recent, success + int(good[-1]), failure + int(bad[-1])))
 
-    rows = events.select("row_id", "user_id", "status", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("micros"))
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    is_ = lambda s: F.coalesce(F.col("status") == s, F.lit(False)).cast("long")
+    rows = events.select("row_id", "user_id", micros.isNotNull().alias("known"), F.coalesce(micros, F.lit(0)).alias("micros"), is_("success").alias("good"), is_("failure").alias("bad"))
     return rows.groupBy("user_id").applyInPandasWithState(work, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
