@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 from dataclasses import replace
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -23,12 +24,12 @@ from vigilframe.operators.scaling import Scaler
 from vigilframe.plans.pipeline import Encoder, extract
 from vigilframe.schema import FIXED_FEATURES
 from vigilframe.operators import windows
-from vigilframe.plans.models import write_slices
+from vigilframe.plans.models import records_of_a_log, write_slices
 from vigilframe.session import materialize
 from vigilframe.sources.events import from_events, from_events_unwindowed
 from vigilframe.sources.synthetic import Generator
 from vigilframe.streaming.keyed import carried, user_features
-from vigilframe.streaming.micro_batch import for_each_batch, stream_raw, windowed_counts
+from vigilframe.streaming.micro_batch import RAW, for_each_batch, stream_raw, windowed_counts
 
 SMALL = Parameters(contamination=0.2, n_trees=30, forest_trees=10, forest_depth=6, sequence_length=4, components=3, training=Training(units=8, epochs=3, batch=256))
 
@@ -287,3 +288,16 @@ def test_trees_walked_together_reach_the_leaves_of_each():
 
     found = forest_module.Leveled.of(trees, {0: 0, 1: 1}).leaves(x)
     assert found.tolist() == [[walk(row, t) for row in x] for t in trees]
+
+
+def test_large_tables_make_larger_logs():
+    assert [records_of_a_log(n) for n in (1000, 100_000, 600_000, 36_000_000)] == [1000, 1000, 6000, 20_000]
+
+
+def test_rows_without_a_time_keep_their_place_in_the_keyed_state(spark, tmp_path):
+    raw = spark.createDataFrame([(1, None, 1, "click", 1.0, '{"k": 1}'), (2, datetime(2024, 1, 1), 1, "error", 1.0, '{"k": 1}'), (3, datetime(2024, 1, 1, 0, 0, 5), 1, None, 1.0, '{"k": 1}')], RAW)
+    raw.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    found = user_features(from_events_unwindowed(stream_raw(spark, f"file://{tmp_path}/in", "*.parquet")), 60.0)
+    found.writeStream.format("memory").queryName("keyed_odd").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = {r["row_id"]: tuple(r)[2:] for r in spark.table("keyed_odd").collect()}
+    assert rows == {1: (0.0, 0, 1, 0), 2: (0.0, 1, 1, 1), 3: (5.0, 2, 2, 1)}

@@ -116,14 +116,19 @@ def _write_logs(events: DataFrame, folder: str, records: int = 1000) -> None:
     files.write.partitionBy("file").json(folder)
 
 
+def records_of_a_log(rows: int) -> int:
+    """A large table makes larger logs up to 20,000 records, and more of them only beyond that: every batch and file costs the driver some time."""
+    return min(20_000, max(1000, rows // 100))
+
+
 def _log_columns(events: DataFrame) -> DataFrame:
     return events.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "user_id", "action", "resource", "ip_address", "region", "status", "session_id", "user_agent")
 
 
 def x1_logs_in_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as JSON log files, read back as a stream of some files at a time."""
-    at = f"{shared_dir(spark)}/vigilframe-logs-{uuid.uuid4().hex}"
-    _write_logs(read_events(spark, sf_dir), f"{at}/logs")
+    at, events = f"{shared_dir(spark)}/vigilframe-logs-{uuid.uuid4().hex}", read_events(spark, sf_dir)
+    _write_logs(events, f"{at}/logs", records_of_a_log(events.count()))
     logs = stream_logs(spark, "aws", f"{at}/logs/file=*", files_per_batch=25)
     keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
     for_each_batch(logs, f"{at}/state", keep, adapt=lambda batch: batch).awaitTermination()
