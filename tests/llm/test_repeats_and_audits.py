@@ -94,6 +94,23 @@ def test_op11_equals_brute_force(spark, sf_dir, documents):
         assert got[r.doc_id] == (size, size - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
 
 
+def test_op11_planted_passages(spark, make_docs, tmp_path):
+    """A passage of over 50 words goes from both documents if it has 400 bytes; n_bytes is the size of the input either way."""
+    rng = random.Random(11)
+    some = lambda n, size, letters="abcdefgh": " ".join("".join(rng.choices(letters, k=size)) for _ in range(n))
+    passages = [some(60, 7), some(52, 6, "éèàç"), some(55, 5), ""]
+    assert [len(p.split()) > 50 for p in passages] == [True, True, True, False] and [len(p.encode()) >= 400 for p in passages] == [True, True, False, False]
+    rows, want = [], {}
+    for i in range(8):
+        # Digits of their own, so that no two documents agree right beside a passage.
+        before, passage, after = f"{some(90, 6)} {i}", passages[i // 2], f"{i} {some(90, 6)}"
+        text, size = before + passage + after, len(passage.encode()) if i < 4 else 0
+        rows.append((i, text))
+        want[i] = (len(text.encode()), size, int(size > 0), hashlib.sha256((before + after if size else text).encode()).hexdigest())
+    make_docs(rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op11_suffix_dedup(spark, str(tmp_path)).collect()} == want
+
+
 def align_brute(texts):
     """The contract's columns from whole texts, by offsets alone."""
     import sentencepiece
