@@ -15,6 +15,7 @@ from vigilframe.models.ensemble import HybridDetector, Parameters
 from vigilframe.models.recurrent import Training
 from vigilframe.models.stages import HybridEstimator
 from vigilframe.operators import features as X
+from vigilframe.models import coding
 from vigilframe.models import forest as forest_module
 from vigilframe.models.experiments import ExperimentLog
 from vigilframe.models.forest import RandomForest
@@ -301,3 +302,46 @@ def test_rows_without_a_time_keep_their_place_in_the_keyed_state(spark, tmp_path
     found.writeStream.format("memory").queryName("keyed_odd").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     rows = {r["row_id"]: tuple(r)[2:] for r in spark.table("keyed_odd").collect()}
     assert rows == {1: (0.0, 0, 1, 0), 2: (0.0, 1, 1, 1), 3: (5.0, 2, 2, 1)}
+
+
+def test_every_tree_draws_from_all_rows(spark):
+    """Labels without a rule can only be known from the rows themselves: most trees must have drawn each."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(20_000, 4)), rng.integers(0, 2, 20_000)
+    df = spark.createDataFrame([(i, *map(float, x[i]), int(y[i])) for i in range(len(x))], "row_id long, a double, b double, c double, d double, y int")
+    forest = RandomForest.fit(df, list("abcd"), F.col("y"), n_trees=20)
+    got = forest.score(df, "p").select(((F.col("p") > 0.5).cast("int") == F.col("y")).cast("int").alias("right")).agg(F.avg("right")).first()[0]
+    assert got > 0.97
+
+
+def test_nodes_split_by_counts_of_all_tasks_are_those_of_one_task(spark, monkeypatch):
+    df = _marked(spark)
+    fit = lambda: RandomForest.fit(df.repartition(3), ["a", "b", "c"], F.col("y"), extra="more", n_trees=5)
+    score = lambda forest: forest.score(df, "p", extra="more").orderBy("row_id").toPandas()["p"].tolist()
+    one = fit()
+    monkeypatch.setattr(forest_module, "NODE_BYTES", 3000)
+    monkeypatch.setattr(forest_module, "SENT_BYTES", 50_000)
+    several = fit()
+    assert several.importances == pytest.approx(one.importances) and [len(t) for t in several.trees] == [len(t) for t in one.trees]
+    assert score(several) == pytest.approx(score(one))
+
+
+def test_codes_come_from_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(coding, "CHUNK", 700)
+    rng = np.random.default_rng(4)
+    n = 4000
+    dense = np.stack([rng.integers(-3, 4, n) / 3, np.exp(3 * rng.normal(size=n)), np.zeros(n), np.where(rng.random(n) < 0.9, 7.25, rng.random(n))], axis=1)
+    # A value that one row has is told apart where a feature has few.
+    dense[17, 0], dense[5, 2], dense[9, 0] = 1e9, -np.inf, np.nan
+    extra = [[{"i": 9, "v": float(2 + i % 2)}] if i % 5 == 0 else [] for i in range(n)]
+    rows = spark.createDataFrame(list(zip(dense.tolist(), extra, strict=True)), f"dense array<double>, extra {coding.EXTRA}")
+    found = coding.coding_of(rows.repartition(3), n, 4)
+    again = coding.coding_of(rows, n, 4)
+    assert found.features.tolist() == [0, 1, 2, 3, 9] and all(np.array_equal(a, b) for a, b in zip(found.edges, again.edges, strict=True))
+    edges = dict(zip(found.features.tolist(), found.edges, strict=True))
+    assert [len(edges[f]) for f in (0, 2, 9)] == [8, 1, 2] and all(len(e) <= coding.EDGES for e in found.edges)
+    codes = found.codes(coding.Rows.from_lists(dense.tolist(), extra))
+    for k in (1, 3):
+        sizes = np.bincount(codes[:, k])
+        # No code but that of a single value holds many rows.
+        assert all(s <= 3 * n / coding.EDGES or len(set(dense[codes[:, k] == c, k])) == 1 for c, s in enumerate(sizes))
